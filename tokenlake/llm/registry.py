@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenlake.llm import chat, quality, sharding, sql, toxicity
+from tokenlake.llm import chat, quality, sharding, simhash, sql, toxicity
 from tokenlake.llm.common import read
 
 
@@ -25,8 +25,12 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.parse(chat.format_conversations(rows)))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_sharding, op4_quality, op9_chat_formatting)}
+    return {f.__name__: f for f in (op2_toxicity, op3_sharding, op4_quality, op9_chat_formatting, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
