@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tokenlake.llm import chat, quality, sharding, simhash, sql, toxicity
+from tokenlake.llm import chat, html, media, quality, sharding, simhash, sql, toxicity
 from tokenlake.llm.common import read
 
 
@@ -20,6 +21,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = media.from_media(media.to_media(read(spark, sf_dir, "documents")))
+    return back.withColumn("feature", F.lower(F.hex("phash"))).drop("phash")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(read(spark, sf_dir, "pages"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_probe(read(spark, sf_dir, "conversations"))
     return chat.digest(chat.parse(chat.format_conversations(rows)))
@@ -30,7 +40,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_sharding, op4_quality, op9_chat_formatting, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op3_sharding, op4_quality, op6_media, op7_html_extraction, op9_chat_formatting, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
