@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import chat, html, media, quality, sharding, simhash, sql, toxicity
+from tokenlake.llm import chat, decontaminate, html, media, quality, sharding, simhash, sql, toxicity
 from tokenlake.llm.common import read
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -40,8 +44,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_sharding, op4_quality, op6_media, op7_html_extraction, op9_chat_formatting, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_sharding, op4_quality, op6_media, op7_html_extraction, op9_chat_formatting, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": sql.CHAT}
+    return {"op1_decontamination": sql.DECONTAMINATION, "op9_chat_formatting": sql.CHAT}
