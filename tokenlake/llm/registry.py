@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import chat, decontaminate, html, media, quality, sharding, simhash, sql, toxicity
+from tokenlake.llm import chat, decontaminate, html, linededup, media, quality, sharding, simhash, sql, toxicity
 from tokenlake.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(read(spark, sf_dir, "pages"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_probe(read(spark, sf_dir, "conversations"))
     return chat.digest(chat.parse(chat.format_conversations(rows)))
@@ -44,8 +48,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_sharding, op4_quality, op6_media, op7_html_extraction, op9_chat_formatting, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_sharding, op4_quality, op6_media, op7_html_extraction, op8_line_dedup, op9_chat_formatting, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": sql.DECONTAMINATION, "op9_chat_formatting": sql.CHAT}
+    return {"op1_decontamination": sql.DECONTAMINATION, "op8_line_dedup": sql.LINE_DEDUP, "op9_chat_formatting": sql.CHAT}

@@ -45,3 +45,23 @@ scored AS (SELECT doc_id, item_id, low + i AS item_start, pos + i AS doc_start,
 SELECT doc_id, item_id, n::BIGINT AS matched_words, win::BIGINT AS window_words, item_start::BIGINT AS item_start, doc_start::BIGINT AS doc_start
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, doc_start, item_start) AS k FROM scored WHERE n >= ceil(win * 0.8)) WHERE k = 1
 """
+
+LINE_DEDUP = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+texts AS (SELECT text, min(coalesce(doc_id, 9223372036854775807)) AS id FROM d WHERE text IS NOT NULL GROUP BY text),
+places AS (SELECT text, id, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM texts),
+lines AS (SELECT text, id, line_no, trim(string_split(text, chr(10))[line_no + 1], ' ') AS line FROM places),
+parts AS (SELECT text, id, line_no, string_split(regexp_replace(line, '[^ 0-9]*[0-9][^ ]*', '<*>', 'g'), ' ') AS p FROM lines WHERE line <> ''),
+keyed AS (
+  SELECT text, id, line_no, [-1, 0] AS kind, p AS key FROM parts
+  UNION ALL
+  SELECT text, id, line_no, [o, len(p)] AS kind,
+    p[1:3] || list_transform(range(3, len(p)), lambda i: CASE WHEN i >= 3 + (len(p) - 3) * o // 4 AND i < 3 + (len(p) - 3) * (o + 1) // 4 THEN NULL ELSE p[i + 1] END) AS key
+  FROM parts, (VALUES (0), (1), (2), (3)) v(o) WHERE len(p) >= 12
+), templates AS (SELECT kind, key, min(id) AS keeper FROM keyed GROUP BY kind, key HAVING count(DISTINCT text) >= 3),
+lost AS (SELECT k.text, list(DISTINCT line_no) AS drops FROM keyed k JOIN templates t ON k.kind = t.kind AND k.key = t.key WHERE k.id > t.keeper GROUP BY k.text)
+SELECT doc_id,
+  CASE WHEN drops IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(range(len(lines)), lambda i: NOT list_contains(drops, i)), lambda i: lines[i + 1]), chr(10)) END AS text,
+  coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(drops), 0)::BIGINT AS n_dropped
+FROM d LEFT JOIN lost ON d.text = lost.text
+"""
