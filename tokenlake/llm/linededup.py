@@ -65,12 +65,12 @@ def dropped_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     return lost.groupBy("dh").agg(F.collect_set("line_no").alias("drops"))
 
 
-def dedup(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """The documents without dropped lines, with ``n_lines`` before and ``n_dropped``; other columns as they were."""
+def dedup(docs: DataFrame, least: int = LEAST_DOCUMENTS, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """The documents without dropped lines, with numbers of lines before and of lines dropped; other columns as they were."""
     drops = materialise(dropped_lines(docs, least), "drops").withColumnsRenamed({"dh": "_ld_dh", "drops": "_ld_drops"})
     out = docs.withColumn("_ld_dh", F.xxhash64("text")).join(drops.hint("shuffle_hash"), "_ld_dh", "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_ld_drops", i)), "\n")
     size = lambda c: F.when(c.isNull(), 0).otherwise(F.size(c)).cast("long")
-    counts = {"n_lines": size(lines), "n_dropped": size(F.col("_ld_drops"))}
+    counts = {n_lines: size(lines), n_dropped: size(F.col("_ld_drops"))}
     return out.withColumns(counts).withColumn("text", F.when(F.col("_ld_drops").isNull(), F.col("text")).otherwise(kept)).drop("_ld_dh", "_ld_drops")

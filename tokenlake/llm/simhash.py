@@ -156,16 +156,17 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every row of ``docs`` (doc_id, text)."""
-    marked = materialise(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
+def near_duplicates(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, the carried columns, fp, root (a fingerprint) and component_id of every row of ``docs``."""
+    marked = fingerprints(docs.select("doc_id", "text", *carried)).select("doc_id", *carried, "fp")
+    marked = materialise(marked, "fingerprints")
     firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     rooted = components(links(firsts.select("fp")))
     named = firsts.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "rooted")
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(ids, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.join(ids, "root").select("fp", "root", "component_id")
+    return marked.join(by_fp, "fp").select("doc_id", *carried, "fp", "root", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:

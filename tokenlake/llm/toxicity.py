@@ -109,10 +109,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, row_weight: np.ndarray, steps: int =
     return w
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """The input's columns, and ``toxicity_score`` (0 to 1) of its ``text``."""
+def score(docs: DataFrame, model: dict, name: str = "toxicity_score") -> DataFrame:
+    """The input's columns, and the score (0 to 1) of its ``text`` as ``name``."""
     if model["constant"] is not None:
-        return docs.withColumn("toxicity_score", F.lit(float(model["constant"])))
+        return docs.withColumn(name, F.lit(float(model["constant"])))
     shared = docs.sparkSession.sparkContext.broadcast((model["buckets"], model["weights"], model["bias"]))
 
     @F.arrow_udf("double")
@@ -125,7 +125,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             total = bias + np.bincount(rows, by_bucket[which], minlength=len(column))
             yield pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
-    return docs.withColumn("toxicity_score", scored("text"))
+    return docs.withColumn(name, scored("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
