@@ -1,8 +1,8 @@
 """Vocabularies by repeated merging of the best adjacent pair.
 
 The corpus is compressed once, in Spark, to distinct pre-tokens with counts. Pair counts of every round are Spark
-aggregates over that dictionary; one pair a round comes to the driver. Lineage is cut every few rounds through the
-shared folder. A dictionary of at most ``DRIVER_WORDS`` rows is merged on the driver instead, with counts kept up to
+aggregates over that dictionary; one pair a round comes to the driver. Each round's dictionary is written to the shared
+folder, as nested array expressions would grow with every round, and the one before is deleted. A dictionary of at most ``DRIVER_WORDS`` rows is merged on the driver instead, with counts kept up to
 date incrementally: rounds then cost what the merged words hold, not a pass over the dictionary.
 """
 
@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 from tokenlake.functions import alphabet
 from tokenlake.functions import text as tx
-from tokenlake.sources.io import materialise
+from tokenlake.sources.io import forget, materialise
 
 DRIVER_WORDS = 500_000
-CUT_EVERY = 8
 
 
 class Merge(NamedTuple):
@@ -84,9 +83,9 @@ def train(words: DataFrame, vocab_size: int, threshold: int = 20, collapse_runs:
         if found is None:
             break
         left, right, n = found
-        table = table.select(merged(F.col("ids"), left, right, size, collapse_runs).alias("ids"), "n")
-        if len(out) % CUT_EVERY == CUT_EVERY - 1:
-            table = materialise(table.where(F.size("ids") > 1), "words")
+        joined = table.select(merged(F.col("ids"), left, right, size, collapse_runs).alias("ids"), "n").where(F.size("ids") > 1)
+        before, table = table, materialise(joined, "words")
+        forget(before)
         out.append(Merge(len(out), left, right, size, n))
         size += 1
     return out

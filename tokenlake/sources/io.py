@@ -27,7 +27,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/tokenlake/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tokenlake_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a frame that ``materialise`` returned and that nothing reads any more."""
+    path = getattr(df, "_tokenlake_path", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
