@@ -57,11 +57,11 @@ def dropped_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(dh, drops): for each text that loses lines, their numbers from 0."""
     keyed = materialise(keyed_lines(docs), "lines")
     often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("key")
-    known = materialise(keyed.join(often, "key"), "recurring")
+    known = materialise(keyed.join(often, "key"), "recurring")  # written first: the join alone may split a frequent key
+    known = materialise(known.groupBy("key", "dh", "line_no").agg(F.min("id").alias("id")), "distinct")  # exact copies become one
     once = known.groupBy("key", "dh").agg(F.min("id").alias("id"))
     templates = once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keeper")).where(F.col("n") >= least)
-    first = known.groupBy("dh").agg(F.min("id").alias("first"))
-    lost = known.join(templates.select("key", "keeper"), "key").join(first, "dh").where(F.col("first") > F.col("keeper"))
+    lost = known.join(templates.select("key", "keeper"), "key").where(F.col("id") > F.col("keeper"))
     return lost.groupBy("dh").agg(F.collect_set("line_no").alias("drops"))
 
 
