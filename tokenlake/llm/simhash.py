@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,19 +141,32 @@ def links(fps: DataFrame, segments: int = SEGMENTS, radius: int = RADIUS, bucket
     return near.unionByName(star).distinct()
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Count and summed hashes of an edge list, to see whether a round changed it."""
+    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
+    return tuple(row)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): every node of ``edges`` (a, b) and the smallest node of its component."""
+    """(node, root): every node of ``edges`` (a, b) and the smallest node of its component.
+
+    A node's smallest neighbour is an aggregate that is combined before the shuffle and joined back, so that no task
+    needs all edges of a node that has very many.
+    """
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
-        large = both.withColumn("m", low).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-        small = down.select("a", F.col("m").alias("b")).unionByName(down.where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")))
-        after = materialise(small.distinct(), "edges")
-        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        edges = after
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialise(large, "large")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = large.join(low, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = materialise(low.select("a", F.col("m").alias("b")).unionByName(down).distinct(), "edges")
+        before, state = state, _state(edges)
+        if state == before:
+            break
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, *carried: str) -> DataFrame:
