@@ -71,23 +71,51 @@ def _best(pairs: DataFrame, size: int, threshold: int) -> tuple[int, int, int] |
     return (row[0]["left"], row[0]["right"], row[0]["n"]) if row else None
 
 
+class Growth:
+    """Identifiers handed out while a vocabulary grows to ``final_size``.
+
+    With token names, a joined token that exists already keeps its identifier and the vocabulary does not grow.
+    """
+
+    def __init__(self, size: int, final_size: int, names: list[str] | None = None):
+        self.size, self.final_size, self.names = size, final_size, names
+        self.known = {t: i for i, t in enumerate(names)} if names is not None else None
+
+    def full(self) -> bool:
+        return self.size >= self.final_size
+
+    def join(self, left: int, right: int) -> int:
+        if self.names is not None:
+            text = self.names[left] + self.names[right].removeprefix(alphabet.CONTINUATION)
+            if text in self.known:
+                return self.known[text]
+            self.names.append(text)
+            self.known[text] = self.size
+        self.size += 1
+        return self.size - 1
+
+
 def train(words: DataFrame, vocab_size: int, threshold: int = 20, collapse_runs: bool = True, base: int = alphabet.SIZE, driver_words: int = DRIVER_WORDS) -> list[Merge]:
     """Merges that grow a vocabulary of ``base`` entries to ``vocab_size``; fewer if no pair is frequent enough."""
-    table = materialise(symbols(words).groupBy("ids").agg(F.sum("n").alias("n")), "words")
+    return grow(symbols(words), Growth(base, vocab_size), threshold, collapse_runs, driver_words)
+
+
+def grow(table: DataFrame, growth: Growth, threshold: int = 1, collapse_runs: bool = True, driver_words: int = DRIVER_WORDS) -> list[Merge]:
+    """The merge loop over (ids, n)."""
+    table = materialise(table.groupBy("ids").agg(F.sum("n").alias("n")), "words")
     if table.limit(driver_words + 1).count() <= driver_words:
-        return _train_local(table, vocab_size, threshold, collapse_runs, base)
+        return _grow_local(table, growth, threshold, collapse_runs)
     out: list[Merge] = []
-    size = base
-    while size < vocab_size:
-        found = _best(pair_counts(table), size, threshold)
+    while not growth.full():
+        found = _best(pair_counts(table), growth.size, threshold)
         if found is None:
             break
         left, right, n = found
-        joined = table.select(merged(F.col("ids"), left, right, size, collapse_runs).alias("ids"), "n").where(F.size("ids") > 1)
+        new = growth.join(left, right)
+        joined = table.select(merged(F.col("ids"), left, right, new, collapse_runs).alias("ids"), "n").where(F.size("ids") > 1)
         before, table = table, materialise(joined, "words")
         forget(before)
-        out.append(Merge(len(out), left, right, size, n))
-        size += 1
+        out.append(Merge(len(out), left, right, new, n))
     return out
 
 
@@ -107,7 +135,7 @@ def join_pair(ids: list[int], left: int, right: int, joined: int, collapse_runs:
     return out
 
 
-def _train_local(table: DataFrame, vocab_size: int, threshold: int, collapse_runs: bool, base: int) -> list[Merge]:
+def _grow_local(table: DataFrame, growth: Growth, threshold: int, collapse_runs: bool) -> list[Merge]:
     rows = [(r["ids"], r["n"]) for r in table.where(F.size("ids") > 1).orderBy("ids").toLocalIterator()]
     words, weight = [r[0] for r in rows], [r[1] for r in rows]
     counts: dict[tuple[int, int], int] = defaultdict(int)
@@ -119,21 +147,20 @@ def _train_local(table: DataFrame, vocab_size: int, threshold: int, collapse_run
     heap = [(-n, pair[1], pair[0]) for pair, n in counts.items()]
     heapq.heapify(heap)
     out: list[Merge] = []
-    size = base
-    while size < vocab_size and heap:
+    while heap and not growth.full():
         n, right, left = heapq.heappop(heap)
         pair = (left, right)
         if counts[pair] != -n:  # an old entry; the present one is elsewhere on the heap
             continue
         if -n < threshold:
             break
-        changed = set()
+        joined, changed = growth.join(left, right), set()
         for k in where.pop(pair, set()):
             ids = words[k]
             for old in zip(ids, ids[1:], strict=False):
                 counts[old] -= weight[k]
                 changed.add(old)
-            words[k] = new = join_pair(ids, left, right, size, collapse_runs)
+            words[k] = new = join_pair(ids, left, right, joined, collapse_runs)
             for fresh in zip(new, new[1:], strict=False):
                 counts[fresh] += weight[k]
                 where[fresh].add(k)
@@ -141,8 +168,7 @@ def _train_local(table: DataFrame, vocab_size: int, threshold: int, collapse_run
         for p in changed:
             if counts[p] > 0:
                 heapq.heappush(heap, (-counts[p], p[1], p[0]))
-        out.append(Merge(len(out), left, right, size, -n))
-        size += 1
+        out.append(Merge(len(out), left, right, joined, -n))
     return out
 
 
