@@ -6,7 +6,8 @@ into ``PARTS`` even parts, and a line of at least ``GENERAL_FROM`` tokens also b
 of these parts open: they hold every line of the same length that differs inside one part only. The keys of a line's
 templates (at most ``PARTS`` + 1 hashes) are all that is shuffled, never the text.
 
-A template recurs if at least ``LEAST_DOCUMENTS`` different texts have it. Documents of equal text count once, so exact
+A template recurs if at least ``LEAST_DOCUMENTS`` different texts have it; for lines of ``LONG_FROM`` tokens or more,
+which do not meet by chance, ``LEAST_LONG`` suffice. Documents of equal text count once, so exact
 copies do not make their lines recur; they stay copies, for a later stage. Of a recurring template the document with
 the smallest id (with its exact copies) keeps its lines; all others lose theirs.
 
@@ -26,6 +27,8 @@ LEADING = 3
 PARTS = 4
 GENERAL_FROM = 12
 LEAST_DOCUMENTS = 3
+LONG_FROM = 30
+LEAST_LONG = 2
 
 
 def tokens(line: Column) -> Column:
@@ -42,9 +45,16 @@ def template_keys(parts: Column) -> Column:
     rest = [F.xxhash64(F.slice(parts, cut[i] + 1, cut[i + 1] - cut[i])) for i in range(PARTS)]
     exact = F.xxhash64(F.lit(-1), F.array_join(parts, " "))
     open_one = [F.xxhash64(F.lit(i), lead, *(rest[j] for j in range(PARTS) if j != i)) for i in range(PARTS)]
+    long = (n >= LONG_FROM).cast("long")
+    exact, *open_one = (k.bitwiseAND(F.lit(-2)).bitwiseOR(long) for k in (exact, *open_one))
     return F.when(n >= GENERAL_FROM, F.array(exact, *open_one)).otherwise(F.array(exact))
 
 
+def _recurs(n: Column, least: int, least_long: int) -> Column:
+    """Whether a template's documents are enough; the last bit of its key tells long lines."""
+    return n >= F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, least_long).otherwise(least)
+
+
 def keyed_lines(docs: DataFrame) -> DataFrame:
     """(dh, id, line_no, key): a row for each template of each line that is not blank."""
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
@@ -53,21 +63,21 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
     return lines.select("dh", "id", "line_no", tokens(F.col("line")).alias("parts")).select("dh", "id", "line_no", F.explode(template_keys(F.col("parts"))).alias("key"))
 
 
-def dropped_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, least_long: int = LEAST_LONG) -> DataFrame:
     """(dh, drops): for each text that loses lines, their numbers from 0."""
     keyed = materialise(keyed_lines(docs), "lines")
-    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("key")
+    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(_recurs(F.col("n"), least, least_long)).select("key")
     known = materialise(keyed.join(often, "key"), "recurring")  # written first: the join alone may split a frequent key
     known = materialise(known.groupBy("key", "dh", "line_no").agg(F.min("id").alias("id")), "distinct")  # exact copies become one
     once = known.groupBy("key", "dh").agg(F.min("id").alias("id"))
-    templates = once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keeper")).where(F.col("n") >= least)
+    templates = once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keeper")).where(_recurs(F.col("n"), least, least_long))
     lost = known.join(templates.select("key", "keeper"), "key").where(F.col("id") > F.col("keeper"))
     return lost.groupBy("dh").agg(F.collect_set("line_no").alias("drops"))
 
 
-def dedup(docs: DataFrame, least: int = LEAST_DOCUMENTS, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST_DOCUMENTS, least_long: int = LEAST_LONG, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """The documents without dropped lines, with numbers of lines before and of lines dropped; other columns as they were."""
-    drops = materialise(dropped_lines(docs, least), "drops").withColumnsRenamed({"dh": "_ld_dh", "drops": "_ld_drops"})
+    drops = materialise(dropped_lines(docs, least, least_long), "drops").withColumnsRenamed({"dh": "_ld_dh", "drops": "_ld_drops"})
     out = docs.withColumn("_ld_dh", F.xxhash64("text")).join(drops.hint("shuffle_hash"), "_ld_dh", "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_ld_drops", i)), "\n")

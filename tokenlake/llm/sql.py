@@ -58,7 +58,7 @@ keyed AS (
   SELECT text, id, line_no, [o, len(p)] AS kind,
     p[1:3] || list_transform(range(3, len(p)), lambda i: CASE WHEN i >= 3 + (len(p) - 3) * o // 4 AND i < 3 + (len(p) - 3) * (o + 1) // 4 THEN NULL ELSE p[i + 1] END) AS key
   FROM parts, (VALUES (0), (1), (2), (3)) v(o) WHERE len(p) >= 12
-), templates AS (SELECT kind, key, min(id) AS keeper FROM keyed GROUP BY kind, key HAVING count(DISTINCT text) >= 3),
+), templates AS (SELECT kind, key, min(id) AS keeper FROM keyed GROUP BY kind, key HAVING count(DISTINCT text) >= CASE WHEN len(key) >= 30 THEN 2 ELSE 3 END),
 lost AS (SELECT k.text, list(DISTINCT line_no) AS drops FROM keyed k JOIN templates t ON k.kind = t.kind AND k.key = t.key WHERE k.id > t.keeper GROUP BY k.text)
 SELECT doc_id,
   CASE WHEN drops IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(range(len(lines)), lambda i: NOT list_contains(drops, i)), lambda i: lines[i + 1]), chr(10)) END AS text,
