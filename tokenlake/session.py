@@ -11,6 +11,10 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows of an Arrow batch where the session keeps Spark's default of 10,000: whole documents are large rows.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors through Spark's own file server, once a Spark application.
@@ -18,6 +22,8 @@ def ship_package(spark: SparkSession) -> None:
     Needed before any Python function of the package runs in a task, unless the package is installed there.
     """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
