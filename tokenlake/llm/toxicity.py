@@ -49,10 +49,12 @@ def _present(column, chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
-        y = batch.column("y").to_numpy()
-        rows, buckets = _present(batch.column("text"), None)
-        for label in (0, 1):
-            counts[label] += np.bincount(buckets[y[rows] == label], minlength=1 << BITS)
+        for first in range(0, batch.num_rows, 64):  # every n-gram of these rows is held at once
+            part = batch.slice(first, 64)
+            y = part.column("y").to_numpy()
+            rows, buckets = _present(part.column("text"), None)
+            for label in (0, 1):
+                counts[label] += np.bincount(buckets[y[rows] == label], minlength=1 << BITS)
     seen = np.flatnonzero(counts.sum(0))
     yield pa.record_batch({"bucket": seen, "n0": counts[0][seen], "n1": counts[1][seen]})
 
