@@ -24,7 +24,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,25 +50,30 @@ _LOWER[65:91] += 32
 
 def fingerprint(text: bytes) -> int:
     """The fingerprint of one text, as an unsigned number."""
+    return fold(shingle_hashes(text))
+
+
+def fold(blocks: Iterable[np.ndarray]) -> int:
+    """The fingerprint of shingle hashes that come in blocks."""
     counts, n = np.zeros(64, np.int64), 0
-    for hashes in _hashes(text):
+    for hashes in blocks:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(hashes)
     bits = np.packbits(counts * 2 > n, bitorder="little")
     return int(bits.view("<u8")[0])
 
 
-def _hashes(text: bytes, block: int = 1 << 16) -> Iterator[np.ndarray]:
+def shingle_hashes(text: bytes, size: int = SHINGLE, block: int = 1 << 16) -> Iterator[np.ndarray]:
     words = text.translate(_LOWER_BYTES).split()
     if not words:
         return
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         yield np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
         return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[: -SHINGLE] + 1]).tolist()
-    stops = ends[SHINGLE - 1 :].tolist()
+    starts = np.concatenate([[0], ends[:-size] + 1]).tolist()
+    stops = ends[size - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), block):
         yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + block], stops[at : at + block], strict=True)], "<u8")
