@@ -1,12 +1,14 @@
 r"""Benchmark decontamination by spaced seeds, as DataFrame expressions only.
 
-Words are runs of letters and digits, lower-cased. A seed mask fixes which of ``SPAN`` consecutive words count; the
+Words are runs of letters and digits, lower-cased. A seed mask fixes which of some consecutive words count; the
 others may differ. All masked windows of the benchmark items and of the documents are hashed and joined. Around each
 hit, item and document are aligned and compared word by word: a window of ``WINDOW`` aligned words (the whole item if
 it is shorter) must agree in at least ``AGREE`` of its words.
 
-Items shorter than the span, which no mask fits, are searched for as a whole (their mask is all of their words), so
-every item of ``LEAST_WORDS`` words or more takes part (shorter ones are in any text by chance). No hit is dropped.
+The masks are complete: however the words that may differ lie in a window, some mask at some place in it reads none of
+them (``LONG_MASKS`` were found by exhaustive search, tests repeat it). Items shorter than the window have masks of
+their own, for each length that occurs. So every item of ``LEAST_WORDS`` words or more takes part (shorter ones are in
+any text by chance) and every window that agrees enough is found. No hit is dropped.
 
 The seeds of the benchmark are broadcast only if there are at most ``BROADCAST_SEEDS`` (rows of three numbers); a
 larger benchmark is joined by shuffling both sides, and adaptive execution splits frequent seeds.
@@ -18,16 +20,42 @@ columns are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of the span that each mask reads (1) or skips (0).
-MASKS = ("11101100101", "11010011011", "10110110011")
-SPAN = len(MASKS[0])
 WINDOW = 13
 AGREE = 0.8
 LEAST_WORDS = 5
 BROADCAST_SEEDS = 200_000
+#: Words that each mask reads (1) or skips (0), for windows of 13 words of which 2 may differ.
+LONG_MASKS = ("11110111", "1110110011", "11010010111")
+#: A short item's masks read at least this many words, if it has them.
+LEAST_WEIGHT = 4
+
+
+def masks_for(n: int, misses: int) -> list[tuple[int, str]]:
+    """(place, mask) for a window of ``n`` words: whichever ``misses`` words differ, one mask reads none of them.
+
+    The window is cut into parts, of which a mask reads all but ``misses``.
+    """
+    for parts in range(min(misses + 2, n), n + 1):
+        sizes = [n // parts + (i < n % parts) for i in range(parts)]
+        if parts == n or sum(sorted(sizes)[: parts - misses]) >= LEAST_WEIGHT:
+            break
+    cut = ["".join(("0" if i in gone else "1") * size for i, size in enumerate(sizes)) for gone in combinations(range(parts), misses)]
+    return [(len(m) - len(m.lstrip("0")), m.strip("0")) for m in cut]
+
+
+def may_differ(n: int, agree: float = AGREE) -> int:
+    return n - ceil(n * agree)
+
+
+#: All masks by default, those for items of ``SPAN`` words or more.
+SPAN = LEAST_WORDS
+MASKS = tuple(dict.fromkeys([*LONG_MASKS, *(m for n in range(SPAN, WINDOW) for _, m in masks_for(n, may_differ(n)))]))
 
 
 def words(text: Column) -> Column:
@@ -61,13 +89,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree:
     """doc_id, item_id, matched_words, window_words, item_start, doc_start: the best verified overlap of each pair."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item_words")).where(F.size("item_words") >= LEAST_WORDS)
     size = F.size("item_words")
-    lengths = sorted(r["n"] for r in items.select(size.alias("n")).where(size < SPAN).distinct().collect())  # fewer than SPAN
-    masks = [*MASKS, *("1" * n for n in lengths)]
-    long_ones = items.where(size >= SPAN).select("item_id", "item_words", F.posexplode("item_words").alias("item_at", "_"))
-    seeds = _spread(long_ones, "item_words", "item_at", list(MASKS)).select("seed", "item_id", "item_at")
+    lengths = sorted(r["n"] for r in items.select(size.alias("n")).where(size < window).distinct().collect())
+    long_masks = list(LONG_MASKS if (window, may_differ(window, agree)) == (13, 2) else dict.fromkeys(m for _, m in masks_for(window, may_differ(window, agree))))
+    short_masks = {n: masks_for(n, may_differ(n, agree)) for n in lengths}
+    masks = list(dict.fromkeys([*long_masks, *(m for n in lengths for _, m in short_masks[n])]))
+    long_ones = items.where(size >= window).select("item_id", "item_words", F.posexplode("item_words").alias("item_at", "_"))
+    seeds = _spread(long_ones, "item_words", "item_at", long_masks).select("seed", "item_id", "item_at")
     for n in lengths:
-        whole = items.where(size == n).select(_seed(F.col("item_words"), F.lit(0), "1" * n).alias("seed"), "item_id", F.lit(0).alias("item_at"))
-        seeds = seeds.unionByName(whole)
+        placed = F.array(*(F.struct(_seed(F.col("item_words"), F.lit(at), m).alias("seed"), F.lit(at).alias("item_at")) for at, m in short_masks[n]))
+        seeds = seeds.unionByName(items.where(size == n).select("item_id", F.inline(placed)))
     seeds, lexicon = seeds.distinct(), items.distinct()
     if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         seeds, lexicon = F.broadcast(seeds), F.broadcast(lexicon)
@@ -76,7 +106,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree:
     probes = _spread(hashed.select("doc_id", "doc_words", F.posexplode("doc_words").alias("doc_at", "_")), "doc_words", "doc_at", masks)
     hits = probes.select("doc_id", "doc_words", "doc_at", "seed").join(seeds, "seed").join(lexicon, "item_id")
     low = F.greatest(F.col("item_at") - window + 1, F.lit(0))  # what lies around the hit, however long the item
-    hits = hits.select("doc_id", "item_id", "doc_words", low.alias("low"), (F.col("doc_at") - F.col("item_at") + low).alias("at"), F.slice("item_words", low + 1, SPAN + 2 * (window - 1)).alias("part"), F.least(size, F.lit(window)).alias("window_words"))
+    hits = hits.select("doc_id", "item_id", "doc_words", low.alias("low"), (F.col("doc_at") - F.col("item_at") + low).alias("at"), F.slice("item_words", low + 1, 2 * window - 1).alias("part"), F.least(size, F.lit(window)).alias("window_words"))
     same = F.transform("part", lambda w, i: F.coalesce(F.get("doc_words", F.col("at") + i) == w, F.lit(False)).cast("int"))
     scored = hits.select("doc_id", "item_id", "low", "at", "window_words", _best_window(same, F.col("window_words")).alias("best"))
     scored = scored.where(F.col("best.n") >= F.ceil(F.col("window_words") * F.lit(agree)))
