@@ -15,9 +15,11 @@ ROWS_A_FILE = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; made only where the session names none."""
+    """Folder that driver and executors share. Where the session names none one is made, but only for a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tokenlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
