@@ -48,18 +48,32 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC,
 
 LINE_DEDUP = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-texts AS (SELECT text, min(coalesce(doc_id, 9223372036854775807)) AS id FROM d WHERE text IS NOT NULL GROUP BY text),
-places AS (SELECT text, id, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM texts),
-lines AS (SELECT text, id, line_no, trim(string_split(text, chr(10))[line_no + 1], ' ') AS line FROM places),
-parts AS (SELECT text, id, line_no, string_split(regexp_replace(line, '[^ 0-9]*[0-9][^ ]*', '<*>', 'g'), ' ') AS p FROM lines WHERE line <> ''),
+texts AS (SELECT row_number() OVER () AS t, text, min(coalesce(doc_id, 9223372036854775807)) AS id FROM d WHERE text IS NOT NULL GROUP BY text),
+places AS (SELECT t, id, string_split(text, chr(10)) AS ls, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM texts),
+lines AS (SELECT t, id, line_no, trim(ls[line_no + 1], ' ') AS line FROM places),
+masked AS (SELECT t, id, line_no, regexp_replace(line, '[^ 0-9]*[0-9][^ ]*', '<*>', 'g') AS line FROM lines WHERE line <> ''),
+split AS (SELECT *, string_split(line, ' ') AS p FROM masked),
+parts AS (SELECT *, len(p) AS n, row_number() OVER w AS k, sum(len(p)) OVER w AS upto FROM split WINDOW w AS (PARTITION BY t ORDER BY line_no)),
+opened AS (
+  SELECT 6 AS low, 11 AS high, unnest([[0], [1], [2], [3]]) AS o UNION ALL SELECT 12, 1000000000, unnest([[0, 1], [0, 2], [0, 3], [1, 2], [1, 3], [2, 3]])
+),
 keyed AS (
-  SELECT text, id, line_no, [-1, 0] AS kind, p AS key FROM parts
+  SELECT t, id, line_no, line_no AS last, [0] AS kind, p AS key FROM parts WHERE n < 6
   UNION ALL
-  SELECT text, id, line_no, [o, len(p)] AS kind,
-    p[1:3] || list_transform(range(3, len(p)), lambda i: CASE WHEN i >= 3 + (len(p) - 3) * o // 4 AND i < 3 + (len(p) - 3) * (o + 1) // 4 THEN NULL ELSE p[i + 1] END) AS key
-  FROM parts, (VALUES (0), (1), (2), (3)) v(o) WHERE len(p) >= 12
-), templates AS (SELECT kind, key, min(id) AS keeper FROM keyed GROUP BY kind, key HAVING count(DISTINCT text) >= CASE WHEN len(key) >= 30 THEN 2 ELSE 3 END),
-lost AS (SELECT k.text, list(DISTINCT line_no) AS drops FROM keyed k JOIN templates t ON k.kind = t.kind AND k.key = t.key WHERE k.id > t.keeper GROUP BY k.text)
+  SELECT t, id, line_no, line_no AS last, o AS kind,
+    p[1:3] || list_transform(range(3, n), lambda i: CASE WHEN list_contains(list_transform(o, lambda q: i >= 3 + (n - 3) * q // 4 AND i < 3 + (n - 3) * (q + 1) // 4), true) THEN NULL ELSE p[i + 1] END) AS key
+  FROM parts, opened WHERE n BETWEEN low AND high
+  UNION ALL
+  SELECT a.t, a.id, a.line_no, b.line_no AS last, [-1] AS kind, ls[a.k : b.k] AS key
+  FROM parts a JOIN parts b ON a.t = b.t AND b.k > a.k AND b.upto - a.upto + a.n >= 30 AND b.upto - b.n - a.upto + a.n < 30
+  JOIN (SELECT t, list(line ORDER BY k) AS ls FROM parts GROUP BY t) l ON a.t = l.t WHERE a.n < 30
+), templates AS (
+  SELECT kind, key, min(id) AS keeper FROM keyed GROUP BY kind, key HAVING count(DISTINCT t) >= CASE WHEN len(key) >= 30 OR kind = [-1] THEN 2 ELSE 3 END
+), spans AS (
+  SELECT DISTINCT k.t, line_no, last FROM keyed k JOIN templates m ON k.kind = m.kind AND k.key = m.key WHERE k.id > m.keeper
+), lost AS (
+  SELECT text, list(DISTINCT p.line_no) AS drops FROM parts p JOIN spans s ON p.t = s.t AND p.line_no BETWEEN s.line_no AND s.last JOIN texts x ON x.t = p.t GROUP BY text
+)
 SELECT doc_id,
   CASE WHEN drops IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(range(len(lines)), lambda i: NOT list_contains(drops, i)), lambda i: lines[i + 1]), chr(10)) END AS text,
   coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(drops), 0)::BIGINT AS n_dropped
