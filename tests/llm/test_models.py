@@ -140,9 +140,27 @@ def test_pieces_equal_the_library(spark):
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, score int")
     for most in (0, 3, 1000):
         rows = pieces.decode(pieces.encode(df, model, most), model).collect()
+        assert rows == pieces.round_trip(df, model, most).collect()
         for r in rows:
             assert r.text is None and r.ids is None or (r.ids == library.encode(r.text) and r.decoded == r.text)
     assert pieces.encode(df.limit(0), model, 10).count() == 0
+    with pytest.raises(ValueError):
+        pieces.encode(df.withColumnRenamed("score", "ids"), model)
+    broken = spark.createDataFrame([([i],) for i in model.byte_ids[192:194]] + [([],), (None,), (library.encode("a é"),)], "ids array<int>")
+    assert [r.decoded for r in pieces.decode(broken, model).collect()] == ["\ufffd", "\ufffd", "", None, "a é"]
+
+
+@pytest.mark.parametrize("alone", ["", "\n0", "xyz01\t"])
+def test_words_are_what_a_pattern_finds(alone):
+    import re
+
+    rng = random.Random(9)
+    texts = [None, "", " ", *("".join(rng.choices(" ▁aéxyz01\n\t\U0001f600", k=rng.randrange(1, 30))) for _ in range(60))]
+    escaped = "".join(map(re.escape, alone))
+    pattern = f"[{escaped}]| +[^ {escaped}]*|[^ {escaped}]+" if alone else " +[^ ]*|[^ ]+"
+    words, ends = pieces.split_words(pa.array(texts, pa.string()), alone)
+    want = [re.findall(pattern, " " + t.replace("▁", " ")) if t else [] for t in texts]
+    assert words.to_pylist() == [w for ws in want for w in ws] and np.diff(ends).tolist() == [len(ws) for ws in want]
 
 
 def test_unigram_fold_is_viterbi(spark):

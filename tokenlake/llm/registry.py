@@ -32,7 +32,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.load(PIECE_MODEL)
-    coded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    coded = pieces.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return coded.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
