@@ -11,21 +11,22 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
-#: Rows of an Arrow batch where the session keeps Spark's default of 10,000: whole documents are large rows.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch where the session keeps Spark's default of 64 MB: whole documents are large rows.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors through Spark's own file server, once a Spark application.
 
-    Needed before any Python function of the package runs in a task, unless the package is installed there.
+    Needed before any Python function of the package runs in a task, unless the package is installed there. Where the
+    session keeps the default bound of an Arrow batch, this sets a lower one, once.
     """
     context = spark.sparkContext
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if context.applicationId in _shipped:
         return
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, BATCH_BYTES)
     root = Path(__file__).resolve().parent
     archive = os.path.join(tempfile.mkdtemp(prefix="tokenlake-"), "tokenlake_package.zip")
     with zipfile.ZipFile(archive, "w") as out:
