@@ -24,16 +24,17 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, salt: Column, counts:
 
     counts: ``key`` and ``n``, how many rows there are of each key. Keys of more than one ``HOT_SHARE``-th of all rows
     (so at most ``HOT_SHARE`` keys, which are broadcast) are dealt over ``SALTS`` tasks by ``salt``, a number from the
-    row; their rows of ``table`` are repeated for each.
+    row; their rows of ``table`` are repeated for each. Both sides are sorted and merged at every size: ``table`` grows
+    with the input, and a sort can spill.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = [r[0] for r in counts.where(F.col("n") * HOT_SHARE > total).select(key).collect()] if total > HOT_SHARE else []
     if not hot:
-        return rows.join(table, key, how)
+        return rows.join(table.hint("merge"), key, how)
     known = F.col(key).isin(hot)
     rows = rows.withColumn("_salt", F.when(known, F.pmod(salt, F.lit(SALTS))).otherwise(0).cast("int"))
     every = F.when(known, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return rows.join(table.withColumn("_salt", F.explode(every)), [key, "_salt"], how).drop("_salt")
+    return rows.join(table.withColumn("_salt", F.explode(every)).hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def held_out(doc_id: Column) -> Column:

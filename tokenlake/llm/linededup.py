@@ -185,8 +185,7 @@ def dedup(docs: DataFrame, least: int = LEAST_DOCUMENTS, least_long: int = LEAST
     drops = dropped_lines(docs, least, least_long)
     counts = docs.groupBy(F.xxhash64("text").alias("_dh")).agg(F.count(F.lit(1)).alias("n"))
     marked = docs.withColumn("_dh", F.xxhash64("text"))
-    salt = F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)) if "doc_id" in docs.columns else F.lit(0)
-    out = join_hot(marked, drops.withColumnsRenamed({"dh": "_dh", "drops": "_drops"}), "_dh", salt, counts, "left")
+    out = join_hot(marked, drops.withColumnsRenamed({"dh": "_dh", "drops": "_drops"}), "_dh", F.monotonically_increasing_id(), counts, "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda line, i: ~F.coalesce(F.get("_drops", i), F.lit(False)) | (F.trim(line) == ""))
     out = out.withColumn("_kept", F.when(F.col("_drops").isNotNull(), kept)).withColumn("_n", F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)))
