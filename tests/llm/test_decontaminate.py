@@ -43,7 +43,20 @@ def test_every_overlap_within_tolerance_is_found(spark):
     fifth = items[11][1].split() + [word() for _ in range(44)]  # every fifth word replaced
     items.append((99, " ".join(fifth)))
     rows += [(900 + k, " ".join(word() if i % 5 == k else w for i, w in enumerate(fifth))) for k in range(5)]
-    got = decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.overlaps(docs, benchmark).collect()
     expected = brute(rows, items)
     assert {(r.doc_id, r.item_id) for r in got} == expected and len(expected) > 100
+    assert sorted(decontaminate.overlaps(docs, benchmark, broadcast=0).collect()) == sorted(got)
     assert {(900 + k, 99) for k in range(5)} <= expected
+
+
+def test_repeated_and_null_ids_and_long_texts(spark):
+    text = lambda n, c: " ".join(f"{c}{i}w" for i in range(n))
+    items = [(1, text(20, "a")), (1, text(8, "b")), (1, text(8, "b")), (None, text(13, "c")), (2, "too few words"), (3, None)]
+    rows = [(1, text(20, "a")), (1, text(8, "b")), (2, text(8, "b") + " " + text(13, "c")), (None, text(13, "c")), (3, text(30_000, "z") + " " + text(13, "c")), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, item long, doc_words string")
+    benchmark = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, seed int")
+    for broadcast in (decontaminate.BROADCAST_SEEDS, 0):
+        got = {(r.doc_id, r.item_id): (r.matched_words, r.doc_start) for r in decontaminate.overlaps(docs, benchmark, broadcast=broadcast).collect()}
+        assert got == {(1, 1): (13, 0), (2, 1): (8, 0), (2, None): (13, 8), (None, None): (13, 0), (3, None): (13, 30_000)}

@@ -11,11 +11,12 @@ their own, for each length that occurs. So every item of ``LEAST_WORDS`` words o
 any text by chance) and every window that agrees enough is found. No hit is dropped.
 
 The seeds of the benchmark are broadcast only if there are at most ``BROADCAST_SEEDS`` (rows of three numbers); a
-larger benchmark is joined by shuffling both sides, and adaptive execution splits frequent seeds.
+larger benchmark is joined by shuffling both sides, and adaptive execution splits frequent seeds. Only numbers are
+shuffled there; the words around a hit are fetched afterwards.
 
-Defined cases: null and empty texts hold no words and are never contaminated; items of fewer words match nothing;
-repeated documents and items each count; a null id is kept as such; an empty table gives an empty result; extra
-columns are ignored.
+Defined cases: null and empty texts hold no words and are never contaminated; items of fewer words match nothing; of
+rows that share a doc_id or an item_id, the best overlap of any of them counts; a null id is an id like any other; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,33 +86,44 @@ def _best_window(same: Column, window: Column) -> Column:
     return F.array_max(F.transform(starts, lambda i: F.struct(total(i).alias("n"), (-i).alias("back"))))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
-    """doc_id, item_id, matched_words, window_words, item_start, doc_start: the best verified overlap of each pair."""
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item_words")).where(F.size("item_words") >= LEAST_WORDS)
+def _seeds(items: DataFrame, lengths: list[int], window: int, agree: float) -> tuple[DataFrame, list[str]]:
+    """(seed, item, item_at) of all masked windows of the items (item, item_words), and the masks to look for."""
     size = F.size("item_words")
-    lengths = sorted(r["n"] for r in items.select(size.alias("n")).where(size < window).distinct().collect())
     long_masks = list(LONG_MASKS if (window, may_differ(window, agree)) == (13, 2) else dict.fromkeys(m for _, m in masks_for(window, may_differ(window, agree))))
     short_masks = {n: masks_for(n, may_differ(n, agree)) for n in lengths}
-    masks = list(dict.fromkeys([*long_masks, *(m for n in lengths for _, m in short_masks[n])]))
-    long_ones = items.where(size >= window).select("item_id", "item_words", F.posexplode("item_words").alias("item_at", "_"))
-    seeds = _spread(long_ones, "item_words", "item_at", long_masks).select("seed", "item_id", "item_at")
+    long_ones = items.where(size >= window).select("item", "item_words", F.posexplode("item_words").alias("item_at", "_"))
+    seeds = _spread(long_ones, "item_words", "item_at", long_masks).select("seed", "item", "item_at")
     for n in lengths:
         placed = F.array(*(F.struct(_seed(F.col("item_words"), F.lit(at), m).alias("seed"), F.lit(at).alias("item_at")) for at, m in short_masks[n]))
-        seeds = seeds.unionByName(items.where(size == n).select("item_id", F.inline(placed)))
-    seeds, lexicon = seeds.distinct(), items.distinct()
-    if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        seeds, lexicon = F.broadcast(seeds), F.broadcast(lexicon)
+        seeds = seeds.unionByName(items.where(size == n).select("item", F.inline(placed)))
+    return seeds.distinct(), list(dict.fromkeys([*long_masks, *(m for n in lengths for _, m in short_masks[n])]))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, agree: float = AGREE, broadcast: int = BROADCAST_SEEDS) -> DataFrame:
+    """doc_id, item_id, matched_words, window_words, item_start, doc_start: the best verified overlap of each pair."""
+    named = benchmark.select("item_id", word_hashes(F.col("text")).alias("item_words")).where(F.size("item_words") >= LEAST_WORDS)
+    named = named.withColumn("item", F.xxhash64("item_words"))
+    items, size = named.select("item", "item_words").distinct(), F.size("item_words")
+    lengths = sorted(r["n"] for r in items.select(size.alias("n")).where(size < window).distinct().collect())
+    seeds, masks = _seeds(items, lengths, window, agree)
 
     hashed = docs.select("doc_id", word_hashes(F.col("text")).alias("doc_words"))
-    probes = _spread(hashed.select("doc_id", "doc_words", F.posexplode("doc_words").alias("doc_at", "_")), "doc_words", "doc_at", masks)
-    hits = probes.select("doc_id", "doc_words", "doc_at", "seed").join(seeds, "seed").join(lexicon, "item_id")
+    if seeds.limit(broadcast + 1).count() <= broadcast:
+        probes = _spread(hashed.select("doc_id", "doc_words", F.posexplode("doc_words").alias("doc_at", "_")), "doc_words", "doc_at", masks)
+        hits = probes.select("doc_id", "doc_words", "doc_at", "seed").join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item")
+    else:
+        texts = hashed.withColumn("doc", F.xxhash64("doc_words"))
+        probes = _spread(texts.select("doc", "doc_words", F.posexplode("doc_words").alias("doc_at", "_")), "doc_words", "doc_at", masks)
+        hits = probes.select("doc", "doc_at", "seed").join(seeds, "seed").select("doc", "doc_at", "item", "item_at").distinct()
+        hits = hits.join(items, "item").join(texts, "doc")
     low = F.greatest(F.col("item_at") - window + 1, F.lit(0))  # what lies around the hit, however long the item
-    hits = hits.select("doc_id", "item_id", "doc_words", low.alias("low"), (F.col("doc_at") - F.col("item_at") + low).alias("at"), F.slice("item_words", low + 1, 2 * window - 1).alias("part"), F.least(size, F.lit(window)).alias("window_words"))
+    hits = hits.select("doc_id", "item", "doc_words", low.alias("low"), (F.col("doc_at") - F.col("item_at") + low).alias("at"), F.slice("item_words", low + 1, 2 * window - 1).alias("part"), F.least(size, F.lit(window)).alias("window_words"))
     same = F.transform("part", lambda w, i: F.coalesce(F.get("doc_words", F.col("at") + i) == w, F.lit(False)).cast("int"))
-    scored = hits.select("doc_id", "item_id", "low", "at", "window_words", _best_window(same, F.col("window_words")).alias("best"))
+    scored = hits.select("doc_id", "item", "low", "at", "window_words", _best_window(same, F.col("window_words")).alias("best"))
     scored = scored.where(F.col("best.n") >= F.ceil(F.col("window_words") * F.lit(agree)))
     start = -F.col("best.back")
     rank = F.struct(F.col("best.n").alias("n"), (-(F.col("at") + start)).alias("d"), (-(F.col("low") + start)).alias("i"), F.col("window_words").alias("w"))
-    found = scored.groupBy("doc_id", "item_id").agg(F.max(rank).alias("r"))
+    found = scored.groupBy("doc_id", "item").agg(F.max(rank).alias("r"))
+    found = found.join(named.select("item", "item_id").distinct(), "item").groupBy("doc_id", "item_id").agg(F.max("r").alias("r"))
     long = lambda c: c.cast("long")
     return found.select("doc_id", "item_id", long(F.col("r.n")).alias("matched_words"), long(F.col("r.w")).alias("window_words"), long(-F.col("r.i")).alias("item_start"), long(-F.col("r.d")).alias("doc_start"))

@@ -18,32 +18,26 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM seen GROUP BY conv_id
 """
 
+#: Without seeds: two texts that agree in four of five words of a window share some run of words (of two, three or four,
+#: by the item's length); every alignment with such a run is scored in full.
 DECONTAMINATION = r"""
-WITH masks(m, offs) AS (VALUES (1, [0,1,2,4,5,8,10]), (2, [0,1,3,6,7,9,10]), (3, [0,2,3,5,6,9,10])),
-items AS (
-  SELECT DISTINCT item_id, w FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark)
-  WHERE len(w) >= 5
-), lengths AS (SELECT DISTINCT len(w) AS n FROM items WHERE len(w) < 11),
-item_at AS (SELECT item_id, w, unnest(range(len(w))) AS pos FROM items WHERE len(w) >= 11),
-seeds AS (
-  SELECT m, list_transform(offs, lambda o: w[pos + 1 + o]) AS key, item_id, pos AS item_at FROM item_at, masks WHERE pos + 11 <= len(w)
-  UNION ALL SELECT -len(w), w, item_id, 0 FROM items WHERE len(w) < 11
+WITH items AS (
+  SELECT row_number() OVER () AS i, item_id, w, CASE WHEN len(w) < 10 THEN 2 WHEN len(w) < 13 THEN 3 ELSE 4 END AS g, least(len(w), 13) AS win
+  FROM (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 5
 ), docs AS (
   SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS dw FROM documents
-), doc_at AS (SELECT r, dw, unnest(range(len(dw))) AS pos FROM docs),
-probes AS (
-  SELECT r, pos, m, list_transform(offs, lambda o: dw[pos + 1 + o]) AS key FROM doc_at, masks WHERE pos + 11 <= len(dw)
-  UNION ALL SELECT r, pos, -n, dw[pos + 1 : pos + n] FROM doc_at, lengths WHERE pos + n <= len(dw)
-), hits AS (
-  SELECT DISTINCT r, item_id, p.pos - s.item_at + greatest(s.item_at - 12, 0) AS pos, greatest(s.item_at - 12, 0) AS low FROM probes p JOIN seeds s USING (m, key)
-), around AS (
-  SELECT h.*, doc_id, dw, w[low + 1 : low + 35] AS part, least(len(w), 13) AS win FROM hits h JOIN docs USING (r) JOIN items USING (item_id)
-), same AS (
-  SELECT r, doc_id, item_id, low, pos, win, list_transform(range(len(part)), lambda i: CASE WHEN pos + i >= 0 AND coalesce(dw[pos + i + 1] = part[i + 1], false) THEN 1 ELSE 0 END) AS s FROM around
-), windows AS (SELECT *, unnest(range(len(s) - win + 1)) AS i FROM same),
-scored AS (SELECT doc_id, item_id, low + i AS item_start, pos + i AS doc_start, win, list_sum(s[i + 1 : i + win]) AS n FROM windows)
+), item_at AS (SELECT i, g, w, unnest(range(len(w) - g + 1)) AS pos FROM items),
+item_runs AS (SELECT i, g, pos, w[pos + 1 : pos + g] AS run FROM item_at),
+doc_at AS (SELECT r, g, dw, unnest(range(len(dw) - g + 1)) AS pos FROM docs, (SELECT DISTINCT g FROM items)),
+doc_runs AS (SELECT r, g, pos, dw[pos + 1 : pos + g] AS run FROM doc_at),
+aligned AS (SELECT DISTINCT r, i, d.pos - t.pos AS shift FROM doc_runs d JOIN item_runs t USING (g, run)),
+same AS (
+  SELECT doc_id, item_id, shift, win, list_transform(range(len(w)), lambda k: CASE WHEN shift + k >= 0 AND coalesce(dw[shift + k + 1] = w[k + 1], false) THEN 1 ELSE 0 END) AS s
+  FROM aligned JOIN docs USING (r) JOIN items USING (i)
+), windows AS (SELECT *, unnest(range(len(s) - win + 1)) AS k FROM same),
+scored AS (SELECT doc_id, item_id, k AS item_start, shift + k AS doc_start, win, list_sum(s[k + 1 : k + win]) AS n FROM windows)
 SELECT doc_id, item_id, n::BIGINT AS matched_words, win::BIGINT AS window_words, item_start::BIGINT AS item_start, doc_start::BIGINT AS doc_start
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, doc_start, item_start) AS k FROM scored WHERE n >= ceil(win * 0.8)) WHERE k = 1
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, doc_start, item_start, win DESC) AS k FROM scored WHERE n >= ceil(win * 0.8)) WHERE k = 1
 """
 
 LINE_DEDUP = r"""
