@@ -23,8 +23,8 @@ def pretokens(text: Column) -> Column:
 
 def raw_bytes(text: Column) -> Column:
     """The text's UTF-8 bytes as an array of numbers from 0 to 255."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "utf-8")), F.lit(".."), F.lit(0))
-    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
+    chars = F.split(F.decode(F.encode(text, "utf-8"), "iso-8859-1"), "")  # a character for each byte
+    return F.when(F.length(text) > 0, F.transform(chars, lambda c: F.ascii(c))).when(text.isNotNull(), F.array().cast("array<int>"))
 
 
 def byte_ids(text: Column) -> Column:

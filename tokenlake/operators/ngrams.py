@@ -8,29 +8,35 @@ shorter context's entropy.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenlake.functions import text as tx
+from tokenlake.operators import bytearrays
+from tokenlake.sources.io import materialise
 
 DISCOUNT = 0.75
 #: Padding symbols; bytes are 0 to 255.
 START, STOP = 256, 257
+SPACE = 32
 
 
-def padded(docs: DataFrame, order: int) -> DataFrame:
-    """(doc_id, symbols): the document's bytes between ``order - 1`` start and stop symbols."""
-    pad = lambda s: F.array_repeat(F.lit(s), order - 1)
-    return docs.where(F.col("text").isNotNull()).select("doc_id", F.concat(pad(START), tx.raw_bytes(tx.prefixed(F.col("text"))), pad(STOP)).alias("symbols"))
+def _unpacked(table: DataFrame) -> DataFrame:
+    """(order, context, word, n) of (order, key, n)."""
+    symbol = lambda i: F.call_function("shiftright", F.col("key"), (F.lit(bytearrays.SYMBOL_BITS) * i).cast("int")).bitwiseAND(F.lit(511)).cast("int")
+    places = F.when(F.col("order") > 1, F.sequence(F.col("order") - 1, F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return table.select("order", F.transform(places, symbol).alias("context"), symbol(F.lit(0)).alias("word"), "n")
+
+
+def packed(context: Column, word: Column | None = None) -> Column:
+    """A context, with or without the symbol behind it, as one long."""
+    symbols = F.transform(context, lambda x: x.cast("long"))
+    key = F.aggregate(symbols, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, bytearrays.SYMBOL_BITS).bitwiseOR(x))
+    return key if word is None else F.shiftleft(key, bytearrays.SYMBOL_BITS).bitwiseOR(word.cast("long"))
 
 
 def counts(docs: DataFrame, orders: list[int], pad_to: int | None = None) -> DataFrame:
-    """(order, context, word, n). Partial counts are combined before the shuffle."""
-    top = pad_to or max(orders)
-    rows = padded(docs, top).select("symbols", F.posexplode("symbols").alias("at", "word"))
-    spread = rows.withColumn("order", F.explode(F.array(*map(F.lit, orders)))).where(F.col("at") + 1 >= F.col("order"))
-    spread = spread.select("order", F.slice("symbols", F.col("at") - F.col("order") + 2, F.col("order") - 1).alias("context"), "word")
-    return spread.groupBy("order", "context", "word").agg(F.count(F.lit(1)).alias("n"))
+    """(order, context, word, n), each document between ``pad_to - 1`` start and stop symbols."""
+    return _unpacked(bytearrays.gram_counts(docs, orders, START, STOP, (pad_to or max(orders)) - 1))
 
 
 def merge(*parts: DataFrame) -> DataFrame:
@@ -68,15 +74,56 @@ def probabilities(table: DataFrame, discount: float = DISCOUNT) -> DataFrame:
     return done
 
 
+def _backed_off(keys: DataFrame, scores: DataFrame, order: int, column: str, word: int | None = None) -> DataFrame:
+    """Add ``column``: the interpolated probability of the gram ``key``, or of ``word`` behind the context ``ctx``.
+
+    Where an n-gram was not seen, its context's back-off weight passes to the next shorter context (all of it, where
+    the context was not seen either).
+    """
+    out = keys.withColumn(column, F.lit(0.0))
+    for k in range(1, order + 1):
+        level = scores.where(F.col("order") == k)
+        cut = lambda c, n: F.col(c).bitwiseAND(F.lit((1 << bytearrays.SYMBOL_BITS * n) - 1))
+        if word is None:
+            hits = level.select(packed(F.col("context"), F.col("word")).alias("_gram"), F.col("p").alias("_p"))
+            out = out.withColumn("_gram", cut("key", k)).join(hits, "_gram", "left").drop("_gram")
+        else:
+            hits = level.where(F.col("word") == word).select(packed(F.col("context")).alias("_c"), F.col("p").alias("_p"))
+            out = out.withColumn("_c", cut("ctx", k - 1)).join(hits, "_c", "left").drop("_c")
+        if k > 1:
+            weights = level.select(packed(F.col("context")).alias("_c"), F.col("gamma").alias("_g")).distinct()
+            context = F.shiftright(F.col("key"), bytearrays.SYMBOL_BITS) if word is None else F.col("ctx")
+            out = out.withColumn("_c", context.bitwiseAND(F.lit((1 << bytearrays.SYMBOL_BITS * (k - 1)) - 1))).join(weights, "_c", "left").drop("_c")
+            out = out.withColumn(column, F.coalesce("_p", F.coalesce("_g", F.lit(1.0)) * F.col(column))).drop("_p", "_g")
+        else:
+            out = out.withColumn(column, F.coalesce("_p", F.lit(0.0))).drop("_p")
+    return out
+
+
+def _bits(p: str) -> Column:
+    return F.when(F.col(p) > 0, -F.log2(p)).otherwise(F.lit(float("inf")))
+
+
 def score_corpus(docs: DataFrame, scores: DataFrame, order: int) -> DataFrame:
-    """(doc_id, pos, byte, surprisal, entropy) of each byte of the prefixed texts, in bits, by seen n-grams of ``order``.
+    """(doc_id, pos, byte, surprisal, entropy, space_nll, eos_nll) of every byte of the prefixed texts, in bits.
 
-    Scores are looked up by distinct (context, byte), the corpus having been counted with the same padding.
+    The table may come from other texts: unseen n-grams and contexts back off to shorter ones, so no position is lost;
+    a byte that the table does not have at all is infinitely surprising. Grams and contexts are looked up once each.
     """
-    rows = padded(docs, order).select("doc_id", "symbols", F.posexplode("symbols").alias("at", "word")).where((F.col("at") >= order - 1) & (F.col("word") < START))
-    keyed = rows.select("doc_id", (F.col("at") - (order - 1)).alias("pos"), F.slice("symbols", F.col("at") - order + 2, order - 1).alias("context"), "word")
-    table = scores.where(F.col("order") == order).select("context", "word", (-F.log2("p")).alias("surprisal"), "entropy")
-    return keyed.join(table, ["context", "word"]).select("doc_id", "pos", F.col("word").alias("byte"), "surprisal", "entropy")
+    rows = materialise(bytearrays.gram_rows(docs, order, START, STOP), "grams")
+    ctx = F.shiftright(F.col("key"), bytearrays.SYMBOL_BITS)
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    keys = materialise(_backed_off(keys, scores, order, "p").withColumn("ctx", ctx), "gram_scores")
+    contexts = materialise(keys.select("ctx").distinct(), "contexts")
+    out = contexts.withColumn("entropy", F.lit(None).cast("double"))
+    for k in range(1, order + 1):
+        level = scores.where(F.col("order") == k).select(packed(F.col("context")).alias("_c"), F.col("entropy").alias("_e")).distinct()
+        out = out.withColumn("_c", F.col("ctx").bitwiseAND(F.lit((1 << bytearrays.SYMBOL_BITS * (k - 1)) - 1))).join(level, "_c", "left").drop("_c")
+        out = out.withColumn("entropy", F.coalesce("_e", "entropy")).drop("_e")
+    for name, word in (("_space", SPACE), ("_stop", STOP)):
+        out = out.join(_backed_off(contexts, scores, order, name, word), "ctx")
+    table = keys.join(out, "ctx").select("key", _bits("p").alias("surprisal"), "entropy", _bits("_space").alias("space_nll"), _bits("_stop").alias("eos_nll"))
+    return rows.join(materialise(table, "scored_grams"), "key").select("doc_id", "pos", F.col("key").bitwiseAND(F.lit(511)).cast("int").alias("byte"), "surprisal", "entropy", "space_nll", "eos_nll")
 
 
 def byte_probability(scores: DataFrame, order: int, byte: int) -> DataFrame:

@@ -55,12 +55,12 @@ def whitespace_fertility(docs: DataFrame, n_tokens: Column, by: tuple[str, ...]
     return sums.select(*by, F.when(F.col("w") > 0, F.col("t") / F.col("w")).otherwise(0.0).alias("fertility"))
 
 
-def bits_per_byte(rows: DataFrame, context: int | None = None) -> DataFrame:
-    """Mean and population deviation of bits per byte and perplexity, from (loss in nats, num_tokens, num_bytes) a row.
+def bits_per_byte(rows: DataFrame, context: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by) mean and population deviation of bits per byte and perplexity, from (loss in nats, num_tokens, num_bytes) a row.
 
     ``context``: divide by this length, as a fixed evaluation window does, and not by the row's own bytes.
     """
     size = F.lit(float(context)) if context else F.col("num_bytes").cast("double")
     bpb = F.col("loss") / F.log(F.lit(2.0)) * F.col("num_tokens") / size
-    scored = rows.select(bpb.alias("bpb"), F.exp("loss").alias("perplexity"))
-    return scored.agg(*(f(c).alias(f"{c}_{name}") for c in ("bpb", "perplexity") for f, name in ((F.avg, "mean"), (F.stddev_pop, "std"))))
+    scored = rows.select(*by, bpb.alias("bpb"), F.exp("loss").alias("perplexity"))
+    return scored.groupBy(*by).agg(*(f(c).alias(f"{c}_{name}") for c in ("bpb", "perplexity") for f, name in ((F.avg, "mean"), (F.stddev_pop, "std"))))

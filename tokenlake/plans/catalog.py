@@ -5,12 +5,13 @@ Every query runs over whole tables. Doubles are rounded to six digits; counts ar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenlake.functions import alphabet, normalise
 from tokenlake.functions import text as tx
-from tokenlake.operators import counting, encoders, evaluation, incremental, merges, ngrams, ordered, spans, stats, subsets, vocabulary
+from tokenlake.operators import bytearrays, counting, encoders, evaluation, incremental, merges, ngrams, ordered, spans, stats, subsets, vocabulary
 from tokenlake.plans import oracles
 from tokenlake.session import ship_package
 from tokenlake.sources.io import materialise, read_table
@@ -202,8 +203,10 @@ def asof_doc_lookup(spark, sf_dir):
 @query
 def packed_sequences_checksum(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", tx.byte_ids(F.col("text")).alias("input_ids"))
-    rows = subsets.packed_tokens(docs, 2049)
-    return rows.groupBy("sequence").agg(F.sum("token").alias("token_sum"), F.sum(F.col("token") * (F.col("slot") + 1)).alias("weighted"), F.sum((F.col("token") == alphabet.EOS_ID).cast("long")).alias("n_eod"))
+    parts = subsets.packed_slices(docs, 2049)
+    total = lambda value: F.aggregate(F.transform("part", value), F.lit(0).cast("long"), lambda a, x: a + x)
+    sums = parts.select("sequence", total(lambda t: t).alias("s"), total(lambda t, i: t * (i + 1 + F.col("slot"))).alias("w"), total(lambda t: (t == alphabet.EOS_ID).cast("int")).alias("e"))
+    return sums.groupBy("sequence").agg(F.sum("s").alias("token_sum"), F.sum("w").alias("weighted"), F.sum("e").alias("n_eod"))
 
 
 @query
@@ -225,25 +228,49 @@ def ngram_merge_partials(spark, sf_dir):
     return ngrams.merge(*parts).agg(F.count(F.lit(1)).alias("types"), F.sum("n").cast("long").alias("tokens"), F.max("n").alias("most"))
 
 
+def _ngram_scores(docs, *orders):
+    return ngrams.probabilities(materialise(ngrams.counts(docs, list(orders)), "ngrams"))
+
+
 @query
 def bigram_surprisal(spark, sf_dir):
-    scores = ngrams.probabilities(ngrams.counts(_docs(spark, sf_dir), [1, 2]))
-    two = scores.where(F.col("order") == 2)
+    two = _ngram_scores(_docs(spark, sf_dir), 1, 2).where(F.col("order") == 2)
     return two.select(F.get("context", F.lit(0)).alias("before"), F.col("word"), "n", F.round(-F.log2("p"), SIXES).alias("surprisal"))
 
 
 @query
 def bigram_entropy(spark, sf_dir):
-    scores = ngrams.probabilities(ngrams.counts(_docs(spark, sf_dir), [1, 2]))
+    scores = _ngram_scores(_docs(spark, sf_dir), 1, 2)
     return scores.where(F.col("order") == 2).select(F.get("context", F.lit(0)).alias("before"), F.round("entropy", SIXES).alias("entropy")).distinct()
 
 
 @query
 def space_nll(spark, sf_dir):
-    scores = ngrams.probabilities(ngrams.counts(_docs(spark, sf_dir), [1, 2]))
+    scores = _ngram_scores(_docs(spark, sf_dir), 1, 2)
     return ngrams.byte_probability(scores, 2, 32).select(F.get("context", F.lit(0)).alias("before"), F.round("nll", SIXES).alias("nll"))
 
 
+@query
+def backoff_scores_by_lang(spark, sf_dir):
+    """One half of the documents scored with the other half's table: what it has not seen backs off."""
+    docs = _docs(spark, sf_dir)
+    scores = materialise(_ngram_scores(docs.where(F.col("doc_id") % 2 == 0), 1, 2, 3), "scores")
+    rows = ngrams.score_corpus(docs.where(F.col("doc_id") % 2 == 1), scores, 3).join(docs.select("doc_id", "lang"), "doc_id")
+    unseen = F.sum((F.col("surprisal") == float("inf")).cast("long"))
+    means = (F.round(F.avg(F.when(F.col(c) < float("inf"), F.col(c))), SIXES).alias(c) for c in ("surprisal", "entropy", "space_nll", "eos_nll"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_bytes"), unseen.alias("n_unseen"), *means)
+
+
+@query
+def bits_per_byte_by_lang(spark, sf_dir):
+    """Mean bits a byte of each document by trigrams of the corpus, as mean and deviation over the documents of a language."""
+    docs = _docs(spark, sf_dir)
+    scores = materialise(_ngram_scores(docs, 1, 2, 3), "scores")
+    rows = ngrams.score_corpus(docs, scores, 3).groupBy("doc_id").agg((F.avg("surprisal") * F.log(F.lit(2.0))).alias("loss"), F.count(F.lit(1)).alias("num_tokens"))
+    rows = rows.withColumn("num_bytes", F.col("num_tokens")).join(docs.select("doc_id", "lang"), "doc_id")
+    return stats.bits_per_byte(rows, by=("lang",)).select("lang", *(_round(F.col(c), c) for c in ("bpb_mean", "bpb_std", "perplexity_mean", "perplexity_std")))
+
+
 @query
 def fivegram_surprisal_by_lang(spark, sf_dir):
     docs = _docs(spark, sf_dir)
@@ -253,27 +280,26 @@ def fivegram_surprisal_by_lang(spark, sf_dir):
 
 
 def _signal(docs: DataFrame) -> DataFrame:
-    """Byte rows with an integer signal that needs no logarithm: how often the byte follows its predecessor, rarer is higher."""
-    rows = tx.byte_rows(docs, "doc_id", "lang")
-    before = F.lag("byte", 1, 256).over(Window.partitionBy("doc_id").orderBy("pos"))
-    rows = rows.withColumn("before", before)
-    freq = rows.groupBy("before", "byte").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.groupBy("before").agg(F.count(F.lit(1)).alias("total"))
-    table = freq.join(total, "before").select("before", "byte", F.floor(F.col("total") * 1000 / F.col("n")).cast("double").alias("signal"))
-    return rows.join(F.broadcast(table), ["before", "byte"]).drop("before")  # at most 257 x 256 rows
+    """Documents as byte arrays with a signal that needs no logarithm: how often a byte follows its predecessor, rarer is higher."""
+    pairs = ngrams.counts(docs, [2]).where(F.col("word") < 256).select(F.get("context", F.lit(0)).alias("before"), "word", "n")
+    table = np.zeros((257, 256))
+    for r in pairs.collect():  # at most 257 x 256 rows
+        table[r.before, r.word] = r.n
+    table = np.where(table > 0, np.floor(table.sum(1, keepdims=True) * 1000 / np.maximum(table, 1)), 0.0)
+    arrays = bytearrays.by_document(docs, "doc_id", "lang")
+    return bytearrays.with_signal(arrays, lambda data: table[np.concatenate([[256], data[:-1]]) if len(data) else data, data])
 
 
 @query
 def signal_percentile(spark, sf_dir):
-    rows = _signal(_docs(spark, sf_dir))
-    x = F.col("signal")
-    return rows.where((x != 0) & ~F.isnan(x)).agg(F.round(F.percentile("signal", F.lit(0.3)), SIXES).alias("p30"), F.round(F.percentile("signal", F.lit(0.9)), SIXES).alias("p90"))
+    rows = _signal(_docs(spark, sf_dir)).select(F.explode("signal").alias("v")).where("v <> 0")
+    found = tuple(round(spans.percentile(rows, p), SIXES) for p in (0.3, 0.9))
+    return spark.createDataFrame([found], "p30 double, p90 double")
 
 
 def _spans(spark, sf_dir, threshold):
-    rows = materialise(_signal(_docs(spark, sf_dir)), "signal")
-    tau = spans.signal_percentile(rows, threshold) if threshold else None
-    return rows, spans.find_spans(rows, tau)
+    rows = _signal(_docs(spark, sf_dir))
+    return spans.find_in_arrays(rows, spans.signal_percentile(rows, threshold) if threshold else None)
 
 
 def _span_summary(found):
@@ -283,24 +309,22 @@ def _span_summary(found):
 
 @query
 def spans_monotonic(spark, sf_dir):
-    return _span_summary(_spans(spark, sf_dir, None)[1])
+    return _span_summary(_spans(spark, sf_dir, None))
 
 
 @query
 def spans_combined(spark, sf_dir):
-    return _span_summary(_spans(spark, sf_dir, 30)[1])
+    return _span_summary(_spans(spark, sf_dir, 30))
 
 
 @query
 def span_length_hist(spark, sf_dir):
-    found = _spans(spark, sf_dir, None)[1]
+    found = _spans(spark, sf_dir, None)
     return found.groupBy((F.col("stop") - F.col("start") + 1).cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _span_counts(spark, sf_dir):
-    rows, found = _spans(spark, sf_dir, None)
-    langs = rows.select("doc_id", "lang").distinct()
-    return spans.span_tokens(found, rows).join(langs, "doc_id").groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    return _spans(spark, sf_dir, None).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _known(spark):

@@ -76,6 +76,30 @@ c2 AS (SELECT w1 AS before, w AS word, count(*) AS n FROM seq WHERE i >= 1 GROUP
 t2 AS (SELECT before, word, n, sum(n) OVER o AS total, count(*) OVER o AS types, q FROM c2 JOIN q1 ON q1.w = c2.word WINDOW o AS (PARTITION BY before)),
 p2 AS (SELECT *, 0.75 * types / total AS gamma, greatest(n - 0.75, 0) / total + 0.75 * types / total * q AS p FROM t2)
 """
+
+
+def _scored(train: str, test: str) -> str:
+    """Interpolated trigram scores of the bytes of some documents by the counts of others, as (doc_id, surprisal, entropy, space, stop)."""
+    back = "coalesce(p3.p, coalesce(g3.g, 1) * coalesce(p2.p, coalesce(g2.g, 1) * coalesce(p1.p, 0)))"
+    fixed = lambda w: back.replace("p3.", f"x{w}.").replace("p2.", f"y{w}.").replace("p1.", f"z{w}.")
+    joins = lambda w: f"LEFT JOIN p3 x{w} ON x{w}.b = k.b AND x{w}.a = k.a AND x{w}.w = {w} LEFT JOIN p2 y{w} ON y{w}.a = k.a AND y{w}.w = {w} LEFT JOIN p1 z{w} ON z{w}.w = {w}"
+    return _grams(3) + f""",
+tr AS (SELECT * FROM seq WHERE {train}), te AS (SELECT doc_id, w2 AS b, w1 AS a, w FROM seq WHERE {test} AND i >= 2 AND w < 256),
+p1 AS (SELECT w, n / sum(n) OVER () AS p FROM (SELECT w, count(*) AS n FROM tr GROUP BY w)), h1 AS (SELECT sum(-p * log2(p)) AS h FROM p1),
+c2 AS (SELECT w1 AS a, w, count(*) AS n FROM tr WHERE i >= 1 GROUP BY ALL), g2 AS (SELECT a, sum(n) AS total, 0.75 * count(*) / sum(n) AS g FROM c2 GROUP BY a),
+p2 AS (SELECT c2.a, c2.w, greatest(n - 0.75, 0) / total + g * p1.p AS p FROM c2 JOIN g2 USING (a) JOIN p1 ON p1.w = c2.w),
+d2 AS (SELECT g2.a, p1.w, coalesce(p2.p, g2.g * p1.p) AS p FROM g2 CROSS JOIN p1 LEFT JOIN p2 ON p2.a = g2.a AND p2.w = p1.w), h2 AS (SELECT a, sum(-p * log2(p)) AS h FROM d2 GROUP BY a),
+c3 AS (SELECT w2 AS b, w1 AS a, w, count(*) AS n FROM tr WHERE i >= 2 GROUP BY ALL), g3 AS (SELECT b, a, sum(n) AS total, 0.75 * count(*) / sum(n) AS g FROM c3 GROUP BY b, a),
+p3 AS (SELECT c3.b, c3.a, c3.w, greatest(n - 0.75, 0) / total + g * p2.p AS p FROM c3 JOIN g3 USING (b, a) JOIN p2 ON p2.a = c3.a AND p2.w = c3.w),
+d3 AS (SELECT g3.b, g3.a, d2.w, coalesce(p3.p, g3.g * d2.p) AS p FROM g3 JOIN d2 USING (a) LEFT JOIN p3 ON p3.b = g3.b AND p3.a = g3.a AND p3.w = d2.w), h3 AS (SELECT b, a, sum(-p * log2(p)) AS h FROM d3 GROUP BY b, a),
+k AS (SELECT DISTINCT b, a, w FROM te),
+s AS (SELECT k.b, k.a, k.w, {back} AS p, {fixed(32)} AS sp, {fixed(257)} AS ep, coalesce(h3.h, h2.h, h1.h) AS entropy
+  FROM k LEFT JOIN p3 ON p3.b = k.b AND p3.a = k.a AND p3.w = k.w LEFT JOIN g3 ON g3.b = k.b AND g3.a = k.a LEFT JOIN p2 ON p2.a = k.a AND p2.w = k.w LEFT JOIN g2 ON g2.a = k.a LEFT JOIN p1 ON p1.w = k.w
+  {joins(32)} {joins(257)} LEFT JOIN h3 ON h3.b = k.b AND h3.a = k.a LEFT JOIN h2 ON h2.a = k.a CROSS JOIN h1),
+scored AS (SELECT doc_id, CASE WHEN p > 0 THEN -log2(p) END AS surprisal, entropy, -log2(sp) AS space_nll, -log2(ep) AS eos_nll FROM te JOIN s ON te.b = s.b AND te.a = s.a AND te.w = s.w)
+"""
+
+
 _ENCODE = """
 base AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
 counted AS (SELECT lang, w, count(*) AS n FROM base GROUP BY ALL), types AS (SELECT DISTINCT w FROM counted),
@@ -133,6 +157,8 @@ SQL: dict[str, str] = {
     "bigram_surprisal": f"WITH {_BIGRAMS} SELECT before, word, n, round(-log2(p), 6) AS surprisal FROM p2",
     "bigram_entropy": f"WITH {_BIGRAMS}, g AS (SELECT before, any_value(gamma) AS gamma FROM p2 GROUP BY 1), dense AS (SELECT g.before, q1.w, coalesce(p2.p, g.gamma * q1.q) AS p FROM g CROSS JOIN q1 LEFT JOIN p2 ON p2.before = g.before AND p2.word = q1.w) SELECT before, round(sum(-p * log2(p)), 6) AS entropy FROM dense GROUP BY 1",
     "space_nll": f"WITH {_BIGRAMS}, g AS (SELECT before, any_value(gamma) AS gamma FROM p2 GROUP BY 1) SELECT g.before, round(-log2(coalesce(p2.p, g.gamma * q1.q)), 6) AS nll FROM g JOIN q1 ON q1.w = 32 LEFT JOIN p2 ON p2.before = g.before AND p2.word = 32",
+    "backoff_scores_by_lang": f"WITH {_scored('doc_id % 2 = 0', 'doc_id % 2 = 1')} SELECT lang, count(*) AS n_bytes, count(*) FILTER (surprisal IS NULL) AS n_unseen, round(avg(surprisal), 6) AS surprisal, round(avg(entropy), 6) AS entropy, round(avg(space_nll), 6) AS space_nll, round(avg(eos_nll), 6) AS eos_nll FROM scored JOIN documents USING (doc_id) GROUP BY lang",
+    "bits_per_byte_by_lang": f"WITH {_scored('true', 'true')}, b AS (SELECT doc_id, avg(surprisal) AS bpb FROM scored GROUP BY doc_id) SELECT lang, round(avg(bpb), 6) AS bpb_mean, round(stddev_pop(bpb), 6) AS bpb_std, round(avg(exp(bpb * ln(2))), 6) AS perplexity_mean, round(stddev_pop(exp(bpb * ln(2))), 6) AS perplexity_std FROM b JOIN documents USING (doc_id) GROUP BY lang",
     "signal_percentile": f"WITH {_SIGNAL} SELECT round(quantile_cont(signal, 0.3), 6) AS p30, round(quantile_cont(signal, 0.9), 6) AS p90 FROM sig WHERE signal <> 0",
     "spans_monotonic": f"WITH {_spans('false')} {_SUMMARY}",
     "spans_combined": f"WITH {_spans('signal < tau.v')} {_SUMMARY}",
