@@ -52,6 +52,13 @@ def test_chat_round_trip(spark):
     assert digest.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_long_conversations(spark):
+    rows = [(1, k, ("user", "assistant")[k % 2], f"turn {k} <|end|>", 7) for k in range(2000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns int")
+    got = chat.parse(chat.format_conversations(df)).first()
+    assert [(t.role, t.text) for t in got.parsed] == [(r[2], r[3]) for r in rows] and got.loss_text == "".join(r[3] for r in rows[1::2])
+
+
 def brute_overlaps(rows, items):
     import re
 

@@ -48,6 +48,21 @@ def merge_turns(df: DataFrame) -> DataFrame:
     return df.withColumn("blocks", F.transform(starts, block)).drop("_starts")
 
 
+def _starts(pieces: str, block: int = 256) -> Column:
+    """Where each piece's text starts once all are joined. Starts gather in blocks, so that a step copies one block at most."""
+    ints = "array<int>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(ints).alias("part"), F.array().cast(f"array<{ints}>").alias("whole"))
+
+    def step(acc: Column, p: Column) -> Column:
+        full = F.size(acc["part"]) == block
+        here = F.array(acc["at"])
+        part = F.when(full, here).otherwise(F.concat(acc["part"], here))
+        whole = F.when(full, F.concat(acc["whole"], F.array(acc["part"]))).otherwise(acc["whole"])
+        return F.struct((acc["at"] + F.length(p["text"])).alias("at"), part.alias("part"), whole.alias("whole"))
+
+    return F.aggregate(pieces, zero, step, lambda acc: F.concat(F.flatten(acc["whole"]), acc["part"]))
+
+
 def render(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """Add ``formatted`` and ``loss_spans``: (start from 0, length) in code points, one span for each text of ``loss_role``."""
     piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
@@ -58,14 +73,8 @@ def render(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
         return F.concat(F.array(piece(F.concat(F.lit(TURN), b["role"], F.lit(SAYS)), no)), F.flatten(says), F.array(piece(F.lit(END), no)))
 
     df = df.withColumn("_pieces", F.flatten(F.transform("blocks", of_block)))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        n = F.length(p["text"])
-        span = F.array(F.struct(acc["at"].alias("start"), n.alias("length")))
-        return F.struct((acc["at"] + n).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    spans = F.aggregate("_pieces", zero, step, lambda acc: acc["spans"])
+    spans = F.zip_with("_pieces", _starts("_pieces"), lambda p, at: F.struct(at.alias("start"), F.length(p["text"]).alias("length"), p["loss"].alias("loss")))
+    spans = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
     return df.withColumn("formatted", F.array_join(F.transform("_pieces", lambda p: p["text"]), "")).withColumn("loss_spans", spans).drop("_pieces")
 
 

@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenlake.llm import textbuf
-from tokenlake.llm.common import materialise
+from tokenlake.llm.common import forget, join_hot, materialise
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
 SEGMENTS = 8
 BUCKET = 64
+EDGES_A_TASK = 200_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -156,19 +157,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) and the smallest node of its component.
 
     A node's smallest neighbour is an aggregate that is combined before the shuffle and joined back, so that no task
-    needs all edges of a node that has very many.
+    needs all edges of a node that has very many. Rounds over few edges are written by few tasks.
     """
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(edges)
     while True:
+        tasks = 1 + state[0] // EDGES_A_TASK
+        old = edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large, "large")
+        large = materialise(large.coalesce(tasks), "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         down = large.join(low, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialise(low.select("a", F.col("m").alias("b")).unionByName(down).distinct(), "edges")
+        edges = materialise(low.select("a", F.col("m").alias("b")).unionByName(down).distinct().coalesce(tasks), "edges")
         before, state = state, _state(edges)
+        forget(large), forget(old)
         if state == before:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -184,7 +188,8 @@ def near_duplicates(docs: DataFrame, *carried: str) -> DataFrame:
     named = materialise(named, "rooted")
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = named.join(ids, "root").select("fp", "root", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", *carried, "fp", "root", "component_id")
+    copies = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    return join_hot(marked, by_fp, "fp", F.monotonically_increasing_id(), copies).select("doc_id", *carried, "fp", "root", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
