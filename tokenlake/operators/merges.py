@@ -1,7 +1,8 @@
 """Vocabularies by repeated merging of the best adjacent pair.
 
 The corpus is compressed once, in Spark, to distinct pre-tokens with counts. Pair counts of every round are Spark
-aggregates over that dictionary; one pair a round comes to the driver. Each round's dictionary is written to the shared
+aggregates over that dictionary; one pair a round comes to the driver. The best pair is the most frequent one, or the
+one of the highest mutual information: its count over the product of its members' counts. Each round's dictionary is written to the shared
 folder, as nested array expressions would grow with every round, and the one before is deleted. A dictionary of at most ``DRIVER_WORDS`` rows is merged on the driver instead, with counts kept up to
 date incrementally: rounds then cost what the merged words hold, not a pass over the dictionary.
 """
@@ -20,6 +21,7 @@ from tokenlake.functions import text as tx
 from tokenlake.sources.io import forget, materialise
 
 DRIVER_WORDS = 500_000
+FREQUENCY, MUTUAL_INFORMATION = "frequency", "mutual-information"
 
 
 class Merge(NamedTuple):
@@ -64,10 +66,17 @@ def merged(ids: Column, left: int, right: int, joined: int, collapse_runs: bool)
     return F.aggregate(ids, empty, step)
 
 
-def _best(pairs: DataFrame, size: int, threshold: int) -> tuple[int, int, int] | None:
-    """The most frequent pair; of equals the one with the smallest ``right * (size + 1) + left``."""
+def _best(words: DataFrame, size: int, threshold: int, measure: str) -> tuple[int, int, int] | None:
+    """The pair of the highest score among those frequent enough; of equals the one with the smallest ``right * (size + 1) + left``."""
+    pairs = pair_counts(words).where(F.col("n") >= threshold)
+    score = F.col("n").cast("double")
+    if measure == MUTUAL_INFORMATION:
+        units = words.select(F.explode("ids").alias("id"), "n").groupBy("id").agg(F.sum("n").cast("double").alias("c"))
+        for side in ("left", "right"):  # a vocabulary, small by nature
+            pairs = pairs.join(F.broadcast(units.select(F.col("id").alias(side), F.col("c").alias(f"c_{side}"))), side)
+        score = score / (F.col("c_left") * F.col("c_right"))
     code = F.col("right").cast("long") * (size + 1) + F.col("left")
-    row = pairs.where(F.col("n") >= threshold).orderBy(F.desc("n"), code).limit(1).collect()
+    row = pairs.orderBy(F.desc(score), code).limit(1).collect()
     return (row[0]["left"], row[0]["right"], row[0]["n"]) if row else None
 
 
@@ -95,19 +104,21 @@ class Growth:
         return self.size - 1
 
 
-def train(words: DataFrame, vocab_size: int, threshold: int = 20, collapse_runs: bool = True, base: int = alphabet.SIZE, driver_words: int = DRIVER_WORDS) -> list[Merge]:
+def train(words: DataFrame, vocab_size: int, threshold: int = 20, collapse_runs: bool = True, base: int = alphabet.SIZE, driver_words: int = DRIVER_WORDS, measure: str = FREQUENCY) -> list[Merge]:
     """Merges that grow a vocabulary of ``base`` entries to ``vocab_size``; fewer if no pair is frequent enough."""
-    return grow(symbols(words), Growth(base, vocab_size), threshold, collapse_runs, driver_words)
+    return grow(symbols(words), Growth(base, vocab_size), threshold, collapse_runs, driver_words, measure)
 
 
-def grow(table: DataFrame, growth: Growth, threshold: int = 1, collapse_runs: bool = True, driver_words: int = DRIVER_WORDS) -> list[Merge]:
+def grow(table: DataFrame, growth: Growth, threshold: int = 1, collapse_runs: bool = True, driver_words: int = DRIVER_WORDS, measure: str = FREQUENCY) -> list[Merge]:
     """The merge loop over (ids, n)."""
+    if measure not in (FREQUENCY, MUTUAL_INFORMATION):
+        raise ValueError(f"unknown measure {measure!r}")
     table = materialise(table.groupBy("ids").agg(F.sum("n").alias("n")), "words")
     if table.limit(driver_words + 1).count() <= driver_words:
-        return _grow_local(table, growth, threshold, collapse_runs)
+        return _grow_local(table, growth, threshold, collapse_runs, measure)
     out: list[Merge] = []
     while not growth.full():
-        found = _best(pair_counts(table), growth.size, threshold)
+        found = _best(table, growth.size, threshold, measure)
         if found is None:
             break
         left, right, n = found
@@ -135,40 +146,67 @@ def join_pair(ids: list[int], left: int, right: int, joined: int, collapse_runs:
     return out
 
 
-def _grow_local(table: DataFrame, growth: Growth, threshold: int, collapse_runs: bool) -> list[Merge]:
-    rows = [(r["ids"], r["n"]) for r in table.where(F.size("ids") > 1).orderBy("ids").toLocalIterator()]
-    words, weight = [r[0] for r in rows], [r[1] for r in rows]
-    counts: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, ids in enumerate(words):
-        for pair in zip(ids, ids[1:], strict=False):
-            counts[pair] += weight[k]
-            where[pair].add(k)
-    heap = [(-n, pair[1], pair[0]) for pair, n in counts.items()]
+class _Words:
+    """A dictionary on the driver, with counts of units and pairs that follow every merge."""
+
+    def __init__(self, rows: list[tuple[list[int], int]]):
+        self.words, self.weight = [r[0] for r in rows], [r[1] for r in rows]
+        self.pairs: dict[tuple[int, int], int] = defaultdict(int)
+        self.units: dict[int, int] = defaultdict(int)
+        self.where: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for k in range(len(rows)):
+            self._add(k, 1)
+
+    def _add(self, k: int, sign: int) -> list[tuple[int, int]]:
+        ids, n = self.words[k], sign * self.weight[k]
+        found = list(zip(ids, ids[1:], strict=False))
+        for x in ids:
+            self.units[x] += n
+        for pair in found:
+            self.pairs[pair] += n
+            if sign > 0:
+                self.where[pair].add(k)
+        return found
+
+    def merge(self, pair: tuple[int, int], joined: int, collapse_runs: bool) -> set[tuple[int, int]]:
+        """Join a pair everywhere; the pairs whose counts have changed."""
+        changed: set[tuple[int, int]] = set()
+        for k in self.where.pop(pair, set()):
+            changed.update(self._add(k, -1))
+            self.words[k] = join_pair(self.words[k], *pair, joined, collapse_runs)
+            changed.update(self._add(k, 1))
+        return changed
+
+
+def _grow_local(table: DataFrame, growth: Growth, threshold: int, collapse_runs: bool, measure: str) -> list[Merge]:
+    # units of single-unit words count for mutual information too
+    rows = table if measure == MUTUAL_INFORMATION else table.where(F.size("ids") > 1)
+    held = _Words([(r["ids"], r["n"]) for r in rows.orderBy("ids").toLocalIterator()])
+    heap = [(-n, pair[1], pair[0]) for pair, n in held.pairs.items()]
     heapq.heapify(heap)
     out: list[Merge] = []
-    while heap and not growth.full():
-        n, right, left = heapq.heappop(heap)
-        pair = (left, right)
-        if counts[pair] != -n:  # an old entry; the present one is elsewhere on the heap
-            continue
-        if -n < threshold:
+
+    def frequent() -> tuple[int, int] | None:
+        while heap:
+            n, right, left = heapq.heappop(heap)
+            if held.pairs[left, right] == -n:  # else an old entry; the present one is elsewhere on the heap
+                return (left, right) if -n >= threshold else None
+        return None
+
+    def informative() -> tuple[int, int] | None:
+        able = ((n / (held.units[a] * held.units[b]), -b, -a) for (a, b), n in held.pairs.items() if n >= threshold)
+        best = max(able, default=None)  # one merge moves the scores of all pairs of its units
+        return (-best[2], -best[1]) if best else None
+
+    while not growth.full():
+        pair = informative() if measure == MUTUAL_INFORMATION else frequent()
+        if pair is None:
             break
-        joined, changed = growth.join(left, right), set()
-        for k in where.pop(pair, set()):
-            ids = words[k]
-            for old in zip(ids, ids[1:], strict=False):
-                counts[old] -= weight[k]
-                changed.add(old)
-            words[k] = new = join_pair(ids, left, right, joined, collapse_runs)
-            for fresh in zip(new, new[1:], strict=False):
-                counts[fresh] += weight[k]
-                where[fresh].add(k)
-                changed.add(fresh)
-        for p in changed:
-            if counts[p] > 0:
-                heapq.heappush(heap, (-counts[p], p[1], p[0]))
-        out.append(Merge(len(out), left, right, joined, -n))
+        n, joined = held.pairs[pair], growth.join(*pair)
+        for p in held.merge(pair, joined, collapse_runs):
+            if held.pairs[p] > 0:
+                heapq.heappush(heap, (-held.pairs[p], p[1], p[0]))
+        out.append(Merge(len(out), *pair, joined, n))
     return out
 
 

@@ -364,6 +364,12 @@ def bpe_merges_k(spark, sf_dir):
     return spark.createDataFrame(found, "rank int, left int, right int, joined int, num_merges long")
 
 
+@query
+def mutual_information_merges(spark, sf_dir):
+    found = merges.train(tx.dictionary(_docs(spark, sf_dir)), alphabet.SIZE + 8, 200, measure=merges.MUTUAL_INFORMATION)
+    return spark.createDataFrame([tuple(m) for m in found], "rank int, left int, right int, joined int, num_merges long")
+
+
 @query
 def bpe_vocab_after_k(spark, sf_dir):
     names = merges.tokens(merges.train(tx.dictionary(_docs(spark, sf_dir)), alphabet.SIZE + 200))

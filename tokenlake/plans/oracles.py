@@ -112,6 +112,40 @@ done AS (SELECT w, max(k) AS tokens FROM steps GROUP BY w),
 sized AS (SELECT c.lang, c.n, {tokens} AS tokens FROM counted c JOIN done d USING (w))
 SELECT lang, sum(n)::BIGINT AS words, sum(tokens * n)::BIGINT AS tokens, coalesce(sum(n) FILTER (tokens > 1), 0)::BIGINT AS split_words, count(*) AS types FROM sized GROUP BY lang
 """
+_ID = "CASE WHEN byte BETWEEN 33 AND 126 THEN byte - 31 WHEN byte BETWEEN 161 AND 172 THEN byte - 65 WHEN byte >= 174 THEN byte - 66 WHEN byte <= 32 THEN 190 + byte WHEN byte BETWEEN 127 AND 160 THEN 96 + byte ELSE 257 END"
+
+
+def _merges(rounds: int, threshold: int, information: bool = False) -> str:
+    """Merge rounds, each a few CTEs, over words written as ``<id><id>``; a run of one identifier becomes one."""
+    out = _WORDS + f""",
+w0 AS MATERIALIZED (SELECT string_agg('<' || {_ID} || '>', '' ORDER BY i) AS s, any_value(n) AS n FROM (SELECT h, i, byte, sum(n) AS n FROM uni GROUP BY ALL) GROUP BY h)"""
+    for k in range(rounds):
+        last = f"x{k} AS MATERIALIZED (SELECT p[i] AS l, p[i + 1] AS r, n FROM (SELECT p, n, unnest(range(1, len(p))) AS i FROM (SELECT regexp_extract_all(s, '<(\\d+)>', 1)::INT[] AS p, n FROM w{k} WHERE contains(s, '><'))))"
+        score = "n::DOUBLE"
+        joins = ""
+        if information:
+            last += f", u{k} AS MATERIALIZED (SELECT u, sum(n)::DOUBLE AS c FROM (SELECT unnest(regexp_extract_all(s, '<(\\d+)>', 1)::INT[]) AS u, n FROM w{k}) GROUP BY u)"
+            score, joins = "n::DOUBLE / (a.c * b.c)", f" JOIN u{k} a ON a.u = l JOIN u{k} b ON b.u = r"
+        out += f""",
+{last},
+b{k} AS MATERIALIZED (SELECT {k} AS rank, l, r, {258 + k} AS joined, n AS num_merges FROM (SELECT l, r, sum(n)::BIGINT AS n FROM x{k} GROUP BY l, r){joins} WHERE n >= {threshold} ORDER BY {score} DESC, r * {259 + k} + l LIMIT 1),
+w{k + 1} AS MATERIALIZED (SELECT CASE WHEN l = r THEN regexp_replace(s, '(<' || l || '>)(<' || l || '>)+', '<' || joined || '>', 'g') ELSE replace(s, '<' || l || '><' || r || '>', '<' || joined || '>') END AS s, n FROM w{k}, b{k})"""
+    return out
+
+
+def _merge_rows(rounds: int) -> str:
+    return " UNION ALL ".join(f'SELECT rank, l AS "left", r AS "right", joined, num_merges FROM b{k}' for k in range(rounds))
+
+
+def _merge_names(rounds: int) -> str:
+    """Hex of what each of the first merges joins."""
+    out = f", t0 AS (SELECT id, upper(lpad(to_hex(byte), 2, '0')) AS h FROM (SELECT byte, {_ID} AS id FROM (SELECT unnest(range(256)) AS byte)))"
+    for k in range(rounds):
+        out += f", t{k + 1} AS (SELECT * FROM t{k} UNION ALL SELECT joined, a.h || c.h FROM b{k} JOIN t{k} a ON a.id = l JOIN t{k} c ON c.id = r)"
+    rows = " UNION ALL ".join(f"SELECT rank, joined, num_merges FROM b{k}" for k in range(rounds))
+    return out + f" SELECT rank::BIGINT AS rank, h AS joined_hex, num_merges FROM ({rows}) JOIN t{rounds} ON id = joined"
+
+
 _CORR = r"""
 lex AS (SELECT CASE WHEN quality = 1 THEN 'W' ELSE 'N' END AS lexicality, n_chars::DOUBLE AS rt, toxic::DOUBLE AS accuracy, c.n - 1.0::DOUBLE AS num_splits, CASE WHEN length(text) > 0 THEN 1 - c.n::DOUBLE / length(text) END AS chunkability
   FROM documents d JOIN labels USING (doc_id) JOIN (SELECT doc_id, count(*) AS n FROM pre GROUP BY doc_id) c USING (doc_id)),
@@ -167,6 +201,9 @@ SQL: dict[str, str] = {
     "span_vocab_by_lang": f"WITH {_TOKENS} SELECT lang, count(*) AS types, sum(n)::BIGINT AS spans, max(n) AS most FROM counts GROUP BY 1",
     "span_vocab_round_robin": f"WITH {_TOKENS}, t AS (SELECT token, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS turn, list_position(['en', 'fr', 'de', 'es'], lang) AS seat FROM counts WHERE length(replace(token, '##', '')) > 2), f AS (SELECT token, min((turn, seat)) AS pos FROM t WHERE turn <= 100 GROUP BY 1) SELECT row_number() OVER (ORDER BY pos) - 1 AS place, token FROM f ORDER BY pos LIMIT 100",
     "segment_net_counts": "WITH s AS (SELECT user_id, event_id, sum(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events) SELECT user_id AS segment, (arg_max(s, event_id) - least(min(s), 0))::BIGINT AS n FROM s GROUP BY 1",
+    "bpe_merges_k": f"WITH {_merges(30, 20)} {_merge_rows(30)}",
+    "bpe_first_merges": f"WITH {_merges(3, 20)}{_merge_names(3)}",
+    "mutual_information_merges": f"WITH {_merges(8, 200, True)} {_merge_rows(8)}",
     "wordpiece_encode_stats": f"WITH RECURSIVE {_ENCODE}{_STEPS.format(match='starts_with(substr(s.w, (s.used + 1)::INT), v)', tokens='CASE WHEN length(c.w) > 100 THEN 1 ELSE d.tokens END')}",
     "suffix_encode_stats": f"WITH RECURSIVE {_ENCODE}{_STEPS.format(match='ends_with(substr(s.w, 1, (length(s.w) - s.used)::INT), v)', tokens='d.tokens')}",
     "wordlevel_encode_stats": "WITH base AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) SELECT lang, count(*) AS words, count(*) FILTER (w IN ('th', 'he', 'in', 'er', 'an', 're', 'nd', 'on', 'en', 'at', 'the', 'and', 'ing', 'ion', 'tion', 'ent', 'for', 'le', 'de', 'es', 'ou')) AS known_words FROM base GROUP BY 1",
