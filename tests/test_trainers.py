@@ -31,6 +31,15 @@ def test_span_trainer_fills_the_vocabulary(spark):
     assert set(names[770:773]) & set(spans_only[770:])
 
 
+def test_mutual_information_merges_agree_on_both_ways(spark):
+    words = spark.createDataFrame([(" the", 40), (" then", 30), (" zq", 25), ("t", 90), ("aaaa", 22)], "pretoken string, n long")
+    ways = [merges.train(words, alphabet.SIZE + 5, driver_words=d, measure=merges.MUTUAL_INFORMATION) for d in (0, 100)]
+    assert ways[0] == ways[1] and len(ways[0]) == 5
+    assert (ways[0][0].left, ways[0][0].right) == (alphabet.BYTE_ID[ord("z")], alphabet.BYTE_ID[ord("q")])
+    with pytest.raises(ValueError):
+        merges.train(words, 300, measure="other")
+
+
 def test_existing_tokens_keep_their_identifier(spark):
     table = spark.createDataFrame([([0, 1, 2], 5), ([0, 1], 1)], "ids array<int>, n long")
     for driver_words in (0, 100):
@@ -60,7 +69,7 @@ def test_entry_without_the_training_data_folders(tmp_path, gone):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     copy = tmp_path / "copy"
     shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "tests", *(["llm", "corpus_pipeline.py"] if gone else [])))
-    if not gone and not (copy / "corpus_pipeline.py").exists():
+    if not gone and not (copy / "tokenlake" / "llm").exists():
         pytest.skip("the folders are gone already")
     code = "import __spark_entry__ as e; q = set(e.queries()); assert set(e.oracle_sql()) <= q; print(len(q), any(x.startswith('op1_') for x in q))"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokenlake.functions import alphabet
 from tokenlake.functions import text as tx
-from tokenlake.operators import encoders, merges, ngrams, ordered, stats, subsets, trainers
+from tokenlake.operators import encoders, incremental, merges, ngrams, ordered, stats, subsets, trainers
 from tokenlake.sources import io
 
 
@@ -42,19 +42,53 @@ def train_ngrams(spark: SparkSession, a: argparse.Namespace) -> None:
 def train_merges(spark: SparkSession, a: argparse.Namespace) -> None:
     """Merge vocabularies of several sizes: one run to the largest, of which the others are prefixes."""
     sizes = sorted(int(s) for s in a.sizes.split(","))
-    found = merges.train(tx.dictionary(_corpus(spark, a)), sizes[-1], a.threshold, not a.standard)
+    found = merges.train(tx.dictionary(_corpus(spark, a)), sizes[-1], a.threshold, not a.standard, measure=a.measure)
     names = merges.tokens(found)
     for size in sizes:
-        part = [m for m in found if m.joined < size]
-        io.write_vocabulary(os.path.join(a.out, str(size)), names[:size], [(names[m.left], names[m.right]) for m in part])
+        part = [(names[m.left], names[m.right], names[m.joined], m.num_merges) for m in found if m.joined < size]
+        io.write_vocabulary(os.path.join(a.out, str(size)), names[:size], [m[:2] for m in part], merge_rows=part)
 
 
-def train_spans(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Span vocabularies from a corpus and its n-gram table, by surprisal or entropy."""
+def score(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Surprisal, entropy, space and end-of-text signals of every byte of a corpus, by an n-gram table of any corpus."""
+    ngrams.score_corpus(_corpus(spark, a), spark.read.parquet(a.ngrams), a.order).write.parquet(a.out)
+
+
+def bits_per_byte(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Bits per byte of each document's head of ``context`` bytes, and their mean, by an n-gram table; a column a model, side by side."""
+    docs = _corpus(spark, a).where(F.col("text").isNotNull())
+    scored = ngrams.score_corpus(docs, spark.read.parquet(a.ngrams), a.order).where(F.col("pos") < a.context)
+    found = scored.groupBy("doc_id").agg((F.sum("surprisal") / F.count(F.lit(1))).alias(a.name))
+    if io.exists(spark, f"{a.out}/documents"):
+        found = ordered.attach(spark.read.parquet(f"{a.out}/documents"), found.select(F.col("doc_id").alias("_id"), a.name), "doc_id", "_id").drop("_id")
+    found = io.materialise(found, "bits")
+    found.write.mode("overwrite").parquet(f"{a.out}/documents")
+    values = [c for c in found.columns if c != "doc_id"]
+    io.append_delimited(found.agg(*(F.avg(c).alias(c) for c in values)).coalesce(1), f"{a.out}/means")
+
+
+def _signals(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """A corpus as rows a byte with the signal of a scored table."""
     docs = _corpus(spark, a)
-    scored = ngrams.score_corpus(docs, spark.read.parquet(a.ngrams), a.order).select("doc_id", "pos", F.col(a.measure).alias("signal"))
+    scored = spark.read.parquet(a.scores) if a.scores else ngrams.score_corpus(docs, spark.read.parquet(a.ngrams), a.order)
     kept = ["doc_id", "lang"] if "lang" in docs.columns else ["doc_id"]
-    rows = tx.byte_rows(docs, *kept).join(scored, ["doc_id", "pos"])
+    return tx.byte_rows(docs, *kept).join(scored.select("doc_id", "pos", F.col(a.measure).alias("signal")), ["doc_id", "pos"])
+
+
+def train_thresholds(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Threshold-incremental vocabularies of several sizes from one pass, with their checkpoints."""
+    sizes = sorted(int(s) for s in a.sizes.split(","))
+    found, trace = incremental.train(_signals(spark, a), sizes, a.threshold, a.include_left_byte)
+    for size in sizes:
+        stop = trace.where(F.col("vocab_size") >= size).agg(F.min("num_moves")).first()[0]
+        upto = trace if stop is None else trace.where(F.col("num_moves") <= stop)
+        rows = [tuple(r) for r in upto.orderBy("num_moves").collect()]  # one a thousand visits
+        io.write_vocabulary(os.path.join(a.out, str(size)), found[size], unknown=alphabet.UNK, checkpoints=rows)
+
+
+def train_spans(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Span vocabularies from a corpus and its n-gram table, by surprisal or entropy."""
+    rows = _signals(spark, a)
     languages = a.languages.split(",") if a.languages else None
     for size in (int(s) for s in a.sizes.split(",")):
         names = trainers.train_spans(rows, size, a.proportion, a.percentile, languages)
@@ -67,7 +101,7 @@ def statistics(spark: SparkSession, a: argparse.Namespace) -> None:
     by = ("lang",) if a.by_language else ()
     words = io.materialise(tx.dictionary(docs, *by), "dictionary")
     wanted = a.tokenizers.split(",")
-    if os.path.isdir(a.out):
+    if io.exists(spark, a.out):
         done = {str(r["tokenizer_name"]) for r in io.read_delimited(spark, a.out).select("tokenizer_name").distinct().collect()}
         wanted = [w for w in wanted if os.path.basename(w) not in done]
     for folder in wanted:
@@ -92,8 +126,11 @@ def main(argv: list[str] | None = None) -> None:
         tokenize: (),
         subset: (("--languages", str, "en"), ("--budget", int, 10_000_000), ("--shift", int, 0)),
         train_ngrams: (("--order", int, 5),),
-        train_merges: (("--sizes", str, "16000"), ("--threshold", int, 20), ("--standard", bool, False)),
-        train_spans: (("--ngrams", str, ""), ("--order", int, 5), ("--measure", str, "surprisal"), ("--sizes", str, "16000"), ("--proportion", float, None), ("--percentile", float, None), ("--languages", str, "")),
+        train_merges: (("--sizes", str, "16000"), ("--threshold", int, 20), ("--standard", bool, False), ("--measure", str, merges.FREQUENCY)),
+        score: (("--ngrams", str, ""), ("--order", int, 5)),
+        bits_per_byte: (("--ngrams", str, ""), ("--order", int, 5), ("--context", int, 2048), ("--name", str, "bpb")),
+        train_thresholds: (("--scores", str, ""), ("--ngrams", str, ""), ("--order", int, 5), ("--measure", str, "surprisal"), ("--sizes", str, "16000"), ("--threshold", int, 20), ("--include-left-byte", bool, False)),
+        train_spans: (("--scores", str, ""), ("--ngrams", str, ""), ("--order", int, 5), ("--measure", str, "surprisal"), ("--sizes", str, "16000"), ("--proportion", float, None), ("--percentile", float, None), ("--languages", str, "")),
         statistics: (("--tokenizers", str, ""), ("--by-language", bool, False)),
     }
     for job, extra in options.items():

@@ -123,7 +123,9 @@ def grow(table: DataFrame, growth: Growth, threshold: int = 1, collapse_runs: bo
             break
         left, right, n = found
         new = growth.join(left, right)
-        joined = table.select(merged(F.col("ids"), left, right, new, collapse_runs).alias("ids"), "n").where(F.size("ids") > 1)
+        joined = table.select(merged(F.col("ids"), left, right, new, collapse_runs).alias("ids"), "n")
+        if measure == FREQUENCY:  # single units are counted for mutual information alone
+            joined = joined.where(F.size("ids") > 1)
         before, table = table, materialise(joined, "words")
         forget(before)
         out.append(Merge(len(out), left, right, new, n))

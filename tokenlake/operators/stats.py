@@ -33,8 +33,11 @@ def fertility(hist: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return sums.select(*by, share("total_subwords").alias("fertility"), share("total_split_words").alias("proportion_continued"), "total_split_words", "total_words", "total_subwords")
 
 
-def tokenizer_statistics(encoded: DataFrame, name: str, unknown_id: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """The statistics row of a tokenizer (by language): fertility and continuation, tokens, unknowns, Renyi efficiency, types."""
+def tokenizer_statistics(encoded: DataFrame, name: str, unknown_id: int | None = None, by: tuple[str, ...] = (), languages: list[str] | None = None) -> DataFrame:
+    """The statistics row of a tokenizer (by language): fertility and continuation, tokens, unknowns, Renyi efficiency, types.
+
+    With ``languages`` there is a row for each of them, of zeros where there are no words.
+    """
     base = fertility(split_histogram(encoded, by), by)
     types = encoded.select(*by, F.explode("ids").alias("id"), "n").groupBy(*by, "id").agg(F.sum("n").alias("n"))
     unknown = F.sum(F.when(F.col("id") == unknown_id, F.col("n")).otherwise(0)) if unknown_id is not None else F.lit(0).cast("long")
@@ -45,6 +48,9 @@ def tokenizer_statistics(encoded: DataFrame, name: str, unknown_id: int | None =
         out = base.join(of_types, list(by)).join(total_bytes, list(by)).join(renyi, list(by))
     else:
         out = base.crossJoin(of_types).crossJoin(total_bytes).crossJoin(renyi)  # one row each
+    if languages is not None:
+        every = encoded.sparkSession.createDataFrame([(x,) for x in languages], f"{by[0]} string")
+        out = every.join(out, by[0], "left").fillna(0)
     return out.withColumn("tokenizer_name", F.lit(name))
 
 

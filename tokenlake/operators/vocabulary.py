@@ -63,9 +63,9 @@ def canonical_name(name: Column) -> Column:
     return F.when(size == "", words).otherwise(F.concat(words, F.lit(" "), F.floor(size.try_cast("int") / 1000).cast("string"), F.lit("k")))
 
 
-def folders(paths: DataFrame) -> DataFrame:
-    """(folder): distinct parent folders of listed files (path)."""
-    return paths.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).where(F.col("folder") != "").distinct()
+def folders(paths: DataFrame, part: str = "") -> DataFrame:
+    """(folder): distinct parent folders of listed files (path), those whose name holds ``part``."""
+    return paths.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder")).where((F.col("folder") != "") & F.col("folder").contains(part)).distinct()
 
 
 def todo(wanted: DataFrame, done: DataFrame, key: str = "tokenizer_name") -> DataFrame:

@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 
 from tokenlake.functions import alphabet, normalise
 from tokenlake.functions import text as tx
-from tokenlake.operators import bytearrays, counting, encoders, evaluation, incremental, merges, ngrams, ordered, spans, stats, subsets, vocabulary
+from tokenlake.operators import bytearrays, configured, counting, encoders, evaluation, incremental, merges, ngrams, ordered, spans, stats, subsets, vocabulary
 from tokenlake.plans import oracles
 from tokenlake.session import ship_package
 from tokenlake.sources.io import materialise, read_table
 
 _QUERIES: dict = {}
 LANGUAGES = ["en", "fr", "de", "es"]
-#: Small fixed vocabulary of the encoder queries: letters, common pairs and endings.
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Common pairs and endings that the encoder queries' vocabulary holds besides what the corpus gives.
 PIECES = ["th", "he", "in", "er", "an", "re", "nd", "on", "en", "at", "the", "and", "ing", "ion", "tion", "ent", "for", "le", "de", "es", "ou"]
-VOCAB = [*LETTERS, *("##" + c for c in LETTERS), *PIECES, *("##" + p for p in PIECES)]
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+FREQUENT_WORDS = 400
 SIXES = 6
 
 
@@ -51,12 +51,19 @@ def _round(c, name: str):
     return F.round(c, SIXES).alias(name)
 
 
-def _ascii_words(docs: DataFrame, *by: str) -> DataFrame:
-    """(by, pretoken, n): lower-case ASCII words."""
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("pretoken")
+def _words(docs: DataFrame, *by: str) -> DataFrame:
+    """(by, pretoken, n): what lies between white space in the lower-cased texts."""
+    word = F.explode(normalise.pre_tokenize(F.lower("text"), "WhitespaceSplit")).alias("pretoken")
     return docs.select(*by, word).groupBy(*by, "pretoken").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _vocabulary(words: DataFrame) -> list[str]:
+    """Pieces that the corpus gives: every character, its most frequent words of 2 to 12 characters, and ``PIECES``."""
+    chars = [r.c for r in words.select(F.explode(F.split("pretoken", "")).alias("c")).distinct().collect()]  # an alphabet
+    often = words.where(F.length("pretoken").between(2, 12)).groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(FREQUENT_WORDS)
+    return [*dict.fromkeys([*chars, *PIECES, *(r.pretoken for r in often.collect())])]
+
+
 @query
 def pretoken_topk(spark, sf_dir):
     return counting.top(tx.dictionary(_docs(spark, sf_dir)), 50, "n", "pretoken")
@@ -390,8 +397,11 @@ def threshold_vocab(spark, sf_dir):
     return incremental.vocabulary(_signal(_docs(spark, sf_dir)), 5, 500)
 
 
-def _encoded(spark, sf_dir, encoder, *by):
-    return encoders.encode_words(_ascii_words(_docs(spark, sf_dir), *by), encoder)
+def _encoded(spark, sf_dir, build, *by):
+    """All words of the texts, encoded by what ``build`` makes of the corpus's vocabulary, marked for continuations too."""
+    words = materialise(_words(_docs(spark, sf_dir), *by), "words")
+    names = _vocabulary(words)
+    return encoders.encode_words(words, build([*names, *("##" + n for n in names)]))
 
 
 def _encode_stats(rows):
@@ -401,22 +411,22 @@ def _encode_stats(rows):
 
 @query
 def wordpiece_encode_stats(spark, sf_dir):
-    return _encode_stats(_encoded(spark, sf_dir, encoders.wordpiece(VOCAB), "lang"))
+    return _encode_stats(_encoded(spark, sf_dir, encoders.wordpiece, "lang"))
 
 
 @query
 def suffix_encode_stats(spark, sf_dir):
-    return _encode_stats(_encoded(spark, sf_dir, encoders.longest_suffix(VOCAB), "lang"))
+    return _encode_stats(_encoded(spark, sf_dir, encoders.longest_suffix, "lang"))
 
 
 @query
 def flota_encode_stats(spark, sf_dir):
-    return _encode_stats(_encoded(spark, sf_dir, encoders.longest_substring(VOCAB), "lang"))
+    return _encode_stats(_encoded(spark, sf_dir, encoders.longest_substring, "lang"))
 
 
 @query
 def wordlevel_encode_stats(spark, sf_dir):
-    rows = _encoded(spark, sf_dir, encoders.word_level(PIECES), "lang")
+    rows = _encoded(spark, sf_dir, encoders.word_level, "lang")
     known = F.get("tokens", F.lit(0)) != "<unk>"
     return rows.groupBy("lang").agg(F.sum("n").alias("words"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("known_words"))
 
@@ -424,14 +434,28 @@ def wordlevel_encode_stats(spark, sf_dir):
 @query
 def unigram_encode_stats(spark, sf_dir):
     scores = {p: -float(i + 1) for i, p in enumerate([*PIECES, *LETTERS])}
-    return _encode_stats(_encoded(spark, sf_dir, encoders.unigram(scores), "lang"))
+    return _encode_stats(_encoded(spark, sf_dir, lambda _: encoders.unigram(scores), "lang"))
+
+
+@query
+def configured_encode_stats(spark, sf_dir):
+    """A tokenizer from one configuration: the corpus's vocabulary, greedy, behind normalisers and pre-tokenizers in sequence."""
+    docs = _docs(spark, sf_dir)
+    names = _vocabulary(_words(docs))
+    steps = [{"type": "WhitespaceSplit"}, {"type": "Digits", "individual_digits": False}]
+    config = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "Replace", "pattern": {"String": "%%%"}, "content": ""}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps},
+        "model": {"type": "Greedy_BPE", "vocab": {n: i for i, n in enumerate([*names, *("##" + n for n in names)])}, "unk_token": "<unk>"},
+    }
+    return _encode_stats(configured.encode_dictionary(materialise(configured.dictionary(docs, config, "lang"), "pieces"), config))
 
 
 @query
 def segmentation_diff(spark, sf_dir):
-    words = _ascii_words(_docs(spark, sf_dir))
-    one = encoders.encode_words(words, encoders.wordpiece(VOCAB)).withColumnRenamed("tokens", "one")
-    both = encoders.encode_words(one, encoders.longest_suffix(VOCAB)).withColumnRenamed("tokens", "other")
+    one = _encoded(spark, sf_dir, encoders.wordpiece).withColumnRenamed("tokens", "one")
+    names = _vocabulary(one.select("pretoken", "n"))
+    both = encoders.encode_words(one, encoders.longest_suffix([*names, *("##" + n for n in names)])).withColumnRenamed("tokens", "other")
     return evaluation.difference_rate(both, "one", "other").select(_round(F.col("rate"), "rate"))
 
 
@@ -443,8 +467,10 @@ def _cuts(word, *ends):
 
 @query
 def boundary_f1_by_source(spark, sf_dir):
-    words = _ascii_words(_docs(spark, sf_dir), "source").where(F.length("pretoken") > 3)
-    words = words.withColumn("gold", _cuts(F.col("pretoken"), "tion", "ing", "es")).withColumn("predicted", _cuts(F.col("pretoken"), "ion", "ing", "s"))
+    """A greedy encoder's cuts against a rule's, over all words."""
+    words = _encoded(spark, sf_dir, encoders.wordpiece, "source")
+    found = F.when(F.length("pretoken") <= encoders.LONGEST_WORD, F.transform("tokens", lambda t: F.regexp_replace(t, "^##(?=.)", ""))).otherwise(F.array("pretoken"))
+    words = words.withColumn("gold", _cuts(F.col("pretoken"), "tion", "ing", "es")).withColumn("predicted", found)
     return evaluation.boundary_f1(evaluation.boundary_counts(words, "gold", "predicted"), "source").select("source", _round(F.col("f1"), "f1"))
 
 

@@ -100,18 +100,54 @@ scored AS (SELECT doc_id, CASE WHEN p > 0 THEN -log2(p) END AS surprisal, entrop
 """
 
 
-_ENCODE = """
-base AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
-counted AS (SELECT lang, w, count(*) AS n FROM base GROUP BY ALL), types AS (SELECT DISTINCT w FROM counted),
-vocab AS (SELECT unnest(['th', 'he', 'in', 'er', 'an', 're', 'nd', 'on', 'en', 'at', 'the', 'and', 'ing', 'ion', 'tion', 'ent', 'for', 'le', 'de', 'es', 'ou'] || list_transform(range(26), lambda i: chr((97 + i)::INT))) AS v)
-"""
-_STEPS = """,
-steps AS (SELECT w, 0 AS used, 0 AS k FROM types UNION ALL
-  SELECT s.w, s.used + (SELECT max(length(v)) FROM vocab WHERE {match}) AS used, s.k + 1 AS k FROM steps s WHERE s.used < length(s.w)),
-done AS (SELECT w, max(k) AS tokens FROM steps GROUP BY w),
-sized AS (SELECT c.lang, c.n, {tokens} AS tokens FROM counted c JOIN done d USING (w))
-SELECT lang, sum(n)::BIGINT AS words, sum(tokens * n)::BIGINT AS tokens, coalesce(sum(n) FILTER (tokens > 1), 0)::BIGINT AS split_words, count(*) AS types FROM sized GROUP BY lang
+_PIECES = ["th", "he", "in", "er", "an", "re", "nd", "on", "en", "at", "the", "and", "ing", "ion", "tion", "ent", "for", "le", "de", "es", "ou"]
+
+
+def _encode(word: str = r"unnest(regexp_extract_all(lower(text), '[^\s\x0b\x{85}\p{Z}]+'))") -> str:
+    """Words by language and source, the vocabulary, and in ``inside`` every piece of it inside a distinct word (start, length)."""
+    split = r"unnest(regexp_extract_all(lower(text), '[^\s\x0b\x{85}\p{Z}]+'))"
+    return f"""
+every AS (SELECT {split} AS w FROM documents), base AS (SELECT lang, source, {word} AS w FROM documents),
+counted AS (SELECT lang, w, count(*) AS n FROM base GROUP BY ALL), types AS (SELECT DISTINCT w FROM base),
+vocab AS (SELECT unnest({_PIECES!r}) AS v UNION SELECT unnest(regexp_extract_all(w, '(?s).')) FROM (SELECT DISTINCT w FROM every)
+  UNION (SELECT w FROM (SELECT w, count(*) AS n FROM every GROUP BY w) WHERE length(w) BETWEEN 2 AND 12 ORDER BY n DESC, w LIMIT 400)),
+places AS (SELECT w, unnest(range(length(w))) AS a FROM types), subs AS (SELECT w, a, unnest(range(1, least(12, length(w) - a) + 1)) AS l FROM places),
+inside AS (SELECT w, a::INT AS a, l::INT AS l FROM subs WHERE substr(w, (a + 1)::INT, l::INT) IN (SELECT v FROM vocab)),
+heads AS (SELECT w, a, max(l) AS l FROM inside GROUP BY w, a), tails AS (SELECT w, a + l AS e, max(l) AS l FROM inside GROUP BY w, a + l)
+"""
+
+
+#: Greedy walks from the front and from the back, and longest pieces first.
+_FRONT = """,
+front AS (SELECT w, 0 AS a, 0 AS k, ''::VARCHAR AS cuts FROM types UNION ALL
+  SELECT f.w, f.a + h.l, f.k + 1, CASE WHEN f.a + h.l < length(f.w) THEN f.cuts || ',' || (f.a + h.l) ELSE f.cuts END FROM front f JOIN heads h ON h.w = f.w AND h.a = f.a),
+greedy AS (SELECT w, CASE WHEN length(w) > 100 THEN 1 ELSE k END AS tokens, CASE WHEN length(w) > 100 THEN 'unknown' ELSE cuts END AS cuts FROM front WHERE a = length(w))
 """
+_BACK = """,
+back AS (SELECT w, length(w)::INT AS e, 0 AS k, ''::VARCHAR AS cuts FROM types UNION ALL
+  SELECT b.w, b.e - t.l, b.k + 1, CASE WHEN b.e - t.l > 0 THEN ',' || (b.e - t.l) || b.cuts ELSE b.cuts END FROM back b JOIN tails t ON t.w = b.w AND t.e = b.e),
+peeled AS (SELECT w, k AS tokens, cuts FROM back WHERE e = 0)
+"""
+_LONGEST = """,
+taken AS (SELECT w, w AS mask, 0 AS k FROM types UNION ALL
+  SELECT w, substr(mask, 1, p.a) || repeat(chr(1), p.l) || substr(mask, p.a + p.l + 1) AS mask, k + 1 FROM (
+    SELECT t.w, t.mask, t.k, arg_max({'a': i.a, 'l': i.l}, (i.l, -i.a)) AS p FROM taken t JOIN inside i ON i.w = t.w WHERE NOT contains(substr(t.mask, i.a + 1, i.l), chr(1)) GROUP BY t.w, t.mask, t.k)),
+covered AS (SELECT w, max(k) AS tokens FROM taken GROUP BY w)
+"""
+_BEST = """,
+score AS (SELECT v, -(row_number() OVER ())::DOUBLE AS s FROM (SELECT unnest(PIECES || list_transform(range(26), lambda i: chr((97 + i)::INT))) AS v)),
+edges AS (SELECT w, a, (a + l)::INT AS e, s FROM subs JOIN score ON v = substr(w, (a + 1)::INT, l::INT)),
+paths AS (SELECT w, 0 AS e, [0.0::DOUBLE] AS sc, [0] AS ct FROM types UNION ALL
+  SELECT p.w, p.e + 1, list_append(any_value(sc), coalesce(max(sc[x.a + 1] + x.s), any_value(sc[p.e + 1]) - 57)), list_append(any_value(ct), coalesce(arg_max(ct[x.a + 1] + 1, (sc[x.a + 1] + x.s, -x.a)), any_value(ct[p.e + 1]) + 1))
+  FROM paths p LEFT JOIN edges x ON x.w = p.w AND x.e = p.e + 1 WHERE p.e < length(p.w) GROUP BY p.w, p.e),
+viterbi AS (SELECT w, ct[-1] AS tokens FROM paths WHERE e = length(w))
+""".replace("PIECES", repr(_PIECES))
+
+
+def _encode_summary(walk: str, done: str, **how: str) -> str:
+    return f"WITH RECURSIVE {_encode(**how)}{walk} SELECT lang, sum(n)::BIGINT AS words, sum(tokens * n)::BIGINT AS tokens, coalesce(sum(n) FILTER (tokens > 1), 0)::BIGINT AS split_words, count(*) AS types FROM counted JOIN {done} USING (w) GROUP BY lang"
+
+
 _ID = "CASE WHEN byte BETWEEN 33 AND 126 THEN byte - 31 WHEN byte BETWEEN 161 AND 172 THEN byte - 65 WHEN byte >= 174 THEN byte - 66 WHEN byte <= 32 THEN 190 + byte WHEN byte BETWEEN 127 AND 160 THEN 96 + byte ELSE 257 END"
 
 
@@ -204,10 +240,14 @@ SQL: dict[str, str] = {
     "bpe_merges_k": f"WITH {_merges(30, 20)} {_merge_rows(30)}",
     "bpe_first_merges": f"WITH {_merges(3, 20)}{_merge_names(3)}",
     "mutual_information_merges": f"WITH {_merges(8, 200, True)} {_merge_rows(8)}",
-    "wordpiece_encode_stats": f"WITH RECURSIVE {_ENCODE}{_STEPS.format(match='starts_with(substr(s.w, (s.used + 1)::INT), v)', tokens='CASE WHEN length(c.w) > 100 THEN 1 ELSE d.tokens END')}",
-    "suffix_encode_stats": f"WITH RECURSIVE {_ENCODE}{_STEPS.format(match='ends_with(substr(s.w, 1, (length(s.w) - s.used)::INT), v)', tokens='d.tokens')}",
-    "wordlevel_encode_stats": "WITH base AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) SELECT lang, count(*) AS words, count(*) FILTER (w IN ('th', 'he', 'in', 'er', 'an', 're', 'nd', 'on', 'en', 'at', 'the', 'and', 'ing', 'ion', 'tion', 'ent', 'for', 'le', 'de', 'es', 'ou')) AS known_words FROM base GROUP BY 1",
-    "boundary_f1_by_source": "WITH base AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), words AS (SELECT DISTINCT source, w FROM base WHERE length(w) > 3), cut AS (SELECT source, w, length(regexp_extract(w, '^(.+?)(tion|ing|es)?$', 1)) AS g, length(regexp_extract(w, '^(.+?)(ion|ing|s)?$', 1)) AS p, length(w) AS n FROM words), s AS (SELECT source, sum((g < n AND p < n AND g = p)::INT) AS tp, sum((p < n AND NOT (g < n AND g = p))::INT) AS fp, sum((g < n AND NOT (p < n AND g = p))::INT) AS fn FROM cut GROUP BY 1) SELECT source, round(tp / (tp + 0.5 * (fp + fn)), 6) AS f1 FROM s",
+    "wordpiece_encode_stats": _encode_summary(_FRONT, "greedy"),
+    "suffix_encode_stats": _encode_summary(_BACK, "peeled"),
+    "flota_encode_stats": _encode_summary(_LONGEST, "covered"),
+    "unigram_encode_stats": _encode_summary(_BEST, "viterbi"),
+    "configured_encode_stats": _encode_summary(_FRONT, "greedy", word=r"unnest(flatten(list_transform(regexp_extract_all(lower(replace(text, '%%%', '')), '[^\s\x0b\x{85}\p{Z}]+'), lambda x: regexp_extract_all(x, '\p{N}+|\P{N}+'))))"),
+    "segmentation_diff": f"WITH RECURSIVE {_encode()}{_FRONT}{_BACK} SELECT round(avg((g.cuts <> p.cuts)::INT), 6) AS rate FROM greedy g JOIN peeled p USING (w)",
+    "wordlevel_encode_stats": f"WITH {_encode()} SELECT lang, sum(n)::BIGINT AS words, coalesce(sum(n) FILTER (w IN (SELECT v FROM vocab UNION ALL SELECT '##' || v FROM vocab)), 0)::BIGINT AS known_words FROM counted GROUP BY 1",
+    "boundary_f1_by_source": f"WITH RECURSIVE {_encode()}{_FRONT}, words AS (SELECT DISTINCT source, w FROM base), cut AS (SELECT source, w, length(regexp_extract(w, '(?s)^(.+?)(tion|ing|es)?$', 1)) AS g, length(w) AS n, CASE WHEN length(w) > 100 THEN [] ELSE list_filter(string_split(cuts, ','), lambda c: c <> '')::INT[] END AS p FROM words JOIN greedy USING (w)), s AS (SELECT source, sum((g < n AND list_contains(p, g::INT))::INT) AS tp, sum(len(p) - (g < n AND list_contains(p, g::INT))::INT) AS fp, sum((g < n AND NOT list_contains(p, g::INT))::INT) AS fn FROM cut GROUP BY 1) SELECT source, round(tp / (tp + 0.5 * (fp + fn)), 6) AS f1 FROM s",
     "chunkability_stats": f"WITH {_PRE}, {_CORR} SELECT lexicality, round(avg(chunkability), 6) AS mean, round(stddev_pop(chunkability), 6) AS std FROM lex GROUP BY 1",
     "chunkability_corr": f"WITH {_PRE}, {_CORR} SELECT lexicality, round(num_splits_rt, 6) AS num_splits_rt, round(num_splits_accuracy, 6) AS num_splits_accuracy, round(chunkability_rt, 6) AS chunkability_rt, round(chunkability_accuracy, 6) AS chunkability_accuracy FROM found",
     "cog_score": f"WITH {_PRE}, {_CORR} SELECT lexicality, round((abs(num_splits_rt) + abs(num_splits_accuracy) + abs(chunkability_rt) + abs(chunkability_accuracy)) / 4, 6) AS score FROM found",

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ast
+import csv
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,8 +138,8 @@ def tokenizer_json(vocab: list[str], merges: list[tuple[str, str]] | None = None
     return {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": level, "post_processor": level, "decoder": level, "model": model}
 
 
-def write_vocabulary(folder: str, vocab: list[str], merges: list[tuple[str, str]] | None = None, unknown: str | None = None) -> None:
-    """vocab.json, merges.txt and tokenizer.json in a folder of the driver."""
+def write_vocabulary(folder: str, vocab: list[str], merges: list[tuple[str, str]] | None = None, unknown: str | None = None, merge_rows: list[tuple] | None = None, checkpoints: list[tuple] | None = None) -> None:
+    """vocab.json, merges.txt and tokenizer.json in a folder of the driver; merges_data.csv and stats.csv where there are rows for them."""
     from pathlib import Path
 
     root = Path(folder)
@@ -143,4 +147,31 @@ def write_vocabulary(folder: str, vocab: list[str], merges: list[tuple[str, str]
     (root / "vocab.json").write_text(json.dumps({t: i for i, t in enumerate(vocab)}, ensure_ascii=False))
     if merges is not None:
         (root / "merges.txt").write_text("#version: 0.2\n" + "".join(f"{a} {b}\n" for a, b in merges))
+    for name, header, rows in (("merges_data.csv", ("left_token", "right_token", "joined_token", "num_merges"), merge_rows), ("stats.csv", ("num_moves", "vocab_size", "unique_segments", "threshold"), checkpoints)):
+        if rows is not None:
+            with (root / name).open("w", newline="") as file:
+                csv.writer(file).writerows([header, *rows])
     (root / "tokenizer.json").write_text(json.dumps(tokenizer_json(vocab, merges, unknown), ensure_ascii=False))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def parse_literals(df: DataFrame, column: str, kind: T.DataType | str) -> DataFrame:
+    """``column``, text of Python lists, dicts or tuples, as values of ``kind``; null where it is no such literal."""
+
+    @F.arrow_udf("string")
+    def as_json(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for text in batch.to_pylist():
+                try:
+                    out.append(None if text is None else json.dumps(ast.literal_eval(text)))
+                except (ValueError, SyntaxError, TypeError):
+                    out.append(None)
+            yield pa.array(out, pa.string())
+
+    return df.withColumn(column, F.from_json(as_json(F.col(column)), kind))
