@@ -68,6 +68,21 @@ def test_votes_are_exact():
         assert abs(score - sum(w * y for w, (_, y) in zip(weight, near, strict=True)) / sum(weight)) < 1e-9
 
 
+def test_ties_go_to_the_first():
+    near = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2]], np.float32)
+    assert quality.nearest(near, 3).tolist() == [[0, 1, 2], [0, 1, 2]] and quality.nearest(near, 5).tolist() == [[0, 1, 2, 3, 4]] * 2
+
+
+def test_held_out_accuracy(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 7)))
+    rows = [(i, " ".join([word() for _ in range(40)]) if i % 4 else "#|".join([word() for _ in range(40)]), None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality_score double")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, *_ in rows], "doc_id long, quality int")
+    held = [r for r in quality.classify(docs, labels).collect() if r.held_out]
+    assert len(held) > 50 and all(r.predicted == int(r.doc_id % 4 > 0) for r in held)
+
+
 def test_pieces_of_long_texts_hold_each_window_once():
     texts = ["abc", None, "d" * 25, "é\U0001f600" * 9, ""]
     for chars in (4, 7, 100):

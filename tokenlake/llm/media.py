@@ -10,7 +10,8 @@ Feature: block means of the image on a 32 x 32 grid, their two-dimensional DCT-I
 lowest frequencies but the constant one: above the median of these 63 or not (the first bit is 0). 8 bytes.
 
 Defined cases: null and empty text give one row of bytes 255; equal texts give equal bytes and features; a damaged
-image raises ``ValueError`` in ``decode``; repeated rows, an empty table and extra columns are passed through as such.
+image raises ``ValueError`` in ``decode``; repeated rows each get a row; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -111,11 +111,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     return {"idf": idf, "axes": axes, "vectors": _unit(x @ axes), "y": y, "w": weight, "share": float((weight * y).sum() / weight.sum())}
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's ``k`` largest values; of equal ones at the border the first."""
+    border = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
+    above, level = near > border, near == border
+    picked = above | level & (np.cumsum(level, 1, dtype=np.int32) <= k - above.sum(1, keepdims=True))
+    return np.nonzero(picked)[1].reshape(len(near), k)
+
+
 def vote(latent: np.ndarray, model: dict) -> np.ndarray:
     """Scores of a block of latent unit vectors against all labelled ones."""
     near = latent @ model["vectors"].T
     k = min(NEIGHBOURS, near.shape[1])
-    top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(near), 1))
+    top = nearest(near, k)
     weight = np.maximum(np.take_along_axis(near, top, 1), 0) * model["w"][top]
     total = weight.sum(1)
     return np.where(total > 1e-9, (weight * model["y"][top]).sum(1) / np.maximum(total, 1e-9), model["share"])
