@@ -107,13 +107,13 @@ def _encode(word: str = r"unnest(regexp_extract_all(lower(text), '[^\s\x0b\x{85}
     """Words by language and source, the vocabulary, and in ``inside`` every piece of it inside a distinct word (start, length)."""
     split = r"unnest(regexp_extract_all(lower(text), '[^\s\x0b\x{85}\p{Z}]+'))"
     return f"""
-every AS (SELECT {split} AS w FROM documents), base AS (SELECT lang, source, {word} AS w FROM documents),
-counted AS (SELECT lang, w, count(*) AS n FROM base GROUP BY ALL), types AS (SELECT DISTINCT w FROM base),
-vocab AS (SELECT unnest({_PIECES!r}) AS v UNION SELECT unnest(regexp_extract_all(w, '(?s).')) FROM (SELECT DISTINCT w FROM every)
+every AS (SELECT {split} AS w FROM documents), base AS MATERIALIZED (SELECT lang, source, {word} AS w FROM documents),
+counted AS MATERIALIZED (SELECT lang, w, count(*) AS n FROM base GROUP BY ALL), types AS MATERIALIZED (SELECT DISTINCT w FROM base),
+vocab AS MATERIALIZED (SELECT unnest({_PIECES!r}) AS v UNION SELECT unnest(regexp_extract_all(w, '(?s).')) FROM (SELECT DISTINCT w FROM every)
   UNION (SELECT w FROM (SELECT w, count(*) AS n FROM every GROUP BY w) WHERE length(w) BETWEEN 2 AND 12 ORDER BY n DESC, w LIMIT 400)),
-places AS (SELECT w, unnest(range(length(w))) AS a FROM types), subs AS (SELECT w, a, unnest(range(1, least(12, length(w) - a) + 1)) AS l FROM places),
-inside AS (SELECT w, a::INT AS a, l::INT AS l FROM subs WHERE substr(w, (a + 1)::INT, l::INT) IN (SELECT v FROM vocab)),
-heads AS (SELECT w, a, max(l) AS l FROM inside GROUP BY w, a), tails AS (SELECT w, a + l AS e, max(l) AS l FROM inside GROUP BY w, a + l)
+places AS (SELECT w, unnest(range(length(w))) AS a FROM types), subs AS MATERIALIZED (SELECT w, a, unnest(range(1, least(14, length(w) - a) + 1)) AS l FROM places), known AS MATERIALIZED (SELECT v FROM vocab UNION SELECT '##' || v FROM vocab),
+inside AS MATERIALIZED (SELECT w, a::INT AS a, l::INT AS l FROM subs WHERE CASE WHEN a > 0 THEN '##' ELSE '' END || substr(w, (a + 1)::INT, l::INT) IN (SELECT v FROM known)),
+heads AS MATERIALIZED (SELECT w, a, max(l) AS l FROM inside GROUP BY w, a), tails AS MATERIALIZED (SELECT w, a + l AS e, max(l) AS l FROM inside GROUP BY w, a + l)
 """
 
 
