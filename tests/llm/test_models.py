@@ -197,3 +197,31 @@ def test_unigram_fold_is_viterbi(spark):
     for w in set(words):
         total = sum(scores[model.pieces[i]] if i else floor for i in got[w])
         assert abs(total - best(w.replace(" ", "▁"))) < 1e-9
+
+
+def test_words_outside_the_dictionary_take_the_lattice(monkeypatch):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model, library = pieces.load(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(12)
+    texts = [None, "", " ", "x" * 3000, "中文 \U0001f600 é" * 40, "  tab\tnew\n", "the " * 300]
+    texts += [" ".join("".join(rng.choices("etaoinshrdlu中é1$", k=rng.randrange(1, 90))) for _ in range(30)) for _ in range(20)]
+    want = [library.encode(t) if t else [] for t in texts]
+    none = pieces.Dictionary(pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for long, chars in ((64, 1 << 17), (0, 50), (10**6, 1000)):  # heap and rounds, in one block and many
+        monkeypatch.setattr(pieces, "LONG_WORD", long, raising=False)
+        monkeypatch.setattr(pieces, "LATTICE_CHARS", chars, raising=False)
+        ids, ends = pieces._encoder(model._replace(proto=b""), none)(pa.array(texts, pa.string()))  # no model for the library
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == want
+
+
+@pytest.mark.parametrize("unigram", [True, False])
+def test_both_lattices_agree(spark, unigram):
+    rng = random.Random(16)
+    names = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 5))) for _ in range(30)} | {"a", "b", "▁"})
+    scores = [float(-rng.randrange(12)) for _ in names]  # with ties
+    model = pieces.Model(b"", ("<unk>", *names), (0.0, *scores), (False, *(True for _ in names)), (), 0, unigram, 4, "")
+    words = sorted({" " * rng.randrange(2) + "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 14))) for _ in range(200)})
+    want = {r.word: r.ids for r in pieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), model).collect()}
+    ids, sizes = pieces._lattice_ids(pa.array(words, pa.large_string()), model, pieces._lookup(model))
+    ends = np.cumsum([0, *sizes])
+    assert {w: ids[a:b].tolist() for w, a, b in zip(words, ends, ends[1:], strict=False)} == want

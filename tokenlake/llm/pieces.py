@@ -1,18 +1,22 @@
 r"""SentencePiece encoding and decoding over a relational lattice.
 
 A text becomes words that no piece crosses: a run of blanks with what follows it up to the next blank, and each
-character that no longer piece holds by itself. The ``DICTIONARY`` most frequent words of the whole corpus (of at most
-``WORD_CHARS`` characters) are encoded relationally: substrings of bounded length are exploded, joined to the piece
-table on equality, and grouped into one lattice of edges a word; a Spark higher-order ``aggregate`` folds the lattice.
+character that no longer piece holds by itself. Every word is encoded by a lattice, the piece table joined to all of
+its substrings of bounded length, and a fold over that lattice. The public library encodes nothing.
 
 The fold depends on the model. Unigram models take the Viterbi path of the highest score. A BPE model's scores are
 merge ranks, and Viterbi over them does not give the model's encoding; there, the fold merges the neighbouring pair
 whose joint edge has the best rank (of equals the leftmost) until none is left, which is the model's encoding.
 Characters without an edge become byte pieces (the unknown piece where the model has none).
 
-The dictionary (bounded by its parameter) is broadcast. Documents are coded in Arrow batches, by array operations on
-all words of a batch: words of the dictionary by lookup; each other distinct word of the batch, of any length, once by
-the public library with the same model. Texts are not shuffled, only word counts are.
+The ``DICTIONARY`` most frequent words of the whole corpus (of at most ``WORD_CHARS`` characters) have their lattice
+in relations: substrings are exploded, joined to the piece table on equality and grouped into one row of edges a word;
+a Spark higher-order ``aggregate`` folds it. That dictionary, bounded by its parameter, is broadcast.
+
+Documents are coded in Arrow batches, by array operations on all words of a batch: words of the dictionary by lookup;
+each other distinct word of the batch, of any length, once by the same lattice and the same fold over arrays. There,
+substrings meet the piece table by hash and are compared character by character; words of more than ``LONG_WORD``
+characters keep their joints in a heap, so that time grows with n log n. Texts are not shuffled, only word counts are.
 
 Defined cases: a null text has null ids and decodes to null; the empty text has no ids; U+2581 is the model's blank
 and decodes as a blank; invalid byte sequences decode to U+FFFD; repeated rows, empty tables and extra columns pass;
@@ -21,8 +25,8 @@ an output column that exists already is refused.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -40,6 +44,9 @@ BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: The dictionary is small in bytes and costly in work, so its tasks are not counted by bytes.
 LATTICE_TASKS = 48
+#: Characters whose lattice an Arrow batch holds at a time, and how long a word is that folds by itself.
+LATTICE_CHARS = 1 << 17
+LONG_WORD = 64
 
 
 class Model(NamedTuple):
@@ -241,11 +248,191 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, block: in
     return out
 
 
+class Lookup(NamedTuple):
+    """The piece table by length: sorted hashes of the pieces of each length, their characters and ids."""
+
+    multiplier: np.uint64
+    seen: np.ndarray
+    tables: tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]
+    rank: np.ndarray
+    score: np.ndarray
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def _hashes(points: np.ndarray, longest: int, multiplier: np.uint64) -> Iterator[np.ndarray]:
+    """For each length from 1, the hash of the characters from each place on."""
+    values = points.astype(np.uint64)
+    hashes = values
+    for length in range(1, longest + 1):
+        yield hashes
+        if length < longest:
+            hashes = hashes[:-1] * multiplier + values[length:]
+
+
+def _lookup(model: Model) -> Lookup:
+    of_length = [[i for i, p in enumerate(model.pieces) if model.lookup[i] and len(p) == n] for n in range(1, model.longest + 1)]
+    for multiplier in (np.uint64(0x9E3779B97F4A7C15 + 2 * k) for k in range(1000)):
+        tables, seen = [], np.zeros(1 << 20, bool)
+        for n, ids in enumerate(of_length, 1):
+            points = _points("".join(model.pieces[i] for i in ids)).reshape(-1, n)
+            hashes = np.zeros(len(ids), np.uint64)
+            for k in range(n):
+                hashes = hashes * multiplier + points[:, k]
+            order = np.argsort(hashes)
+            tables.append((hashes[order], points[order], np.array(ids, np.int32)[order]))
+            seen[hashes >> np.uint64(44)] = True
+        if all(np.all(t[0][1:] != t[0][:-1]) for t in tables):
+            break
+    else:
+        raise ValueError("pieces share hashes, or a piece is there twice")
+    scores = np.array(model.scores)
+    rank = np.append(np.unique(scores, return_inverse=True)[1], -1)  # the last is that of id -1, no piece
+    return Lookup(multiplier, seen, tuple(tables), rank, np.append(scores, min(scores[i] for ids in of_length for i in ids) - UNKNOWN_PENALTY))
+
+
+def edges_of(points: np.ndarray, room: np.ndarray, lookup: Lookup) -> np.ndarray:
+    """The lattice of many words that stand in one array: [length - 1, place] is the piece there, -1 for none.
+
+    room: how many characters of its word are left at each place. Equal hashes are compared character by character.
+    """
+    edges = np.full((len(lookup.tables), len(points)), -1, np.int32)
+    for n, (hashes, table) in enumerate(zip(_hashes(points, len(lookup.tables), lookup.multiplier), lookup.tables, strict=True), 1):
+        known, chars, ids = table
+        at = np.flatnonzero(lookup.seen[hashes >> np.uint64(44)] & (room[: len(hashes)] >= n))
+        if not len(known) or not len(at):
+            continue
+        row = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
+        equal = known[row] == hashes[at]
+        at, row = at[equal], row[equal]
+        for k in range(n):
+            equal = points[at + k] == chars[row, k]
+            if not equal.all():
+                at, row = at[equal], row[equal]
+        edges[n - 1, at] = ids[row]
+    return edges
+
+
+def fold_merges_of(edges: np.ndarray, sizes: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Where pieces start, by ``fold_merges`` for all words at once: in each round, each word merges its best neighbours."""
+    longest, n = edges.shape
+    starts = np.ones(n, bool)
+    at = np.arange(n)
+    stop, word = at + 1, np.repeat(np.arange(len(sizes)), sizes)
+    while len(at):
+        same = word[1:] == word[:-1]
+        size = stop[1:] - at[:-1]
+        joint = rank[np.where(same & (size <= longest), edges[np.minimum(size, longest) - 1, at[:-1]], -1)]
+        many = len(at)
+        key = np.append(np.where(joint >= 0, joint * many + np.arange(many - 1, 0, -1), -1), -1)
+        first = np.flatnonzero(np.append(True, ~same))
+        best = np.maximum.reduceat(key, first)
+        more = best >= 0
+        left = many - 1 - best[more] % many
+        starts[at[left + 1]] = False
+        stop[left] = stop[left + 1]
+        keep = np.repeat(more, np.diff(np.append(first, many)))
+        keep[left + 1] = False
+        at, stop, word = at[keep], stop[keep], word[keep]
+    return starts
+
+
+def fold_merges_long(edges: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """``fold_merges`` for one long word, whose joints wait in a heap: the best first, of equals the leftmost."""
+    longest, n = edges.shape
+    stop, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    starts = np.ones(n, bool)
+
+    def joint(left: int) -> tuple | None:
+        if left < 0 or stop[left] >= n or (end := stop[stop[left]]) - left > longest:
+            return None
+        best = int(rank[edges[end - left - 1, left]])
+        return (-best, left, stop[left], end) if best >= 0 else None
+
+    heap = [j for j in map(joint, range(n)) if j]
+    heapq.heapify(heap)
+    while heap:
+        _, left, middle, end = heapq.heappop(heap)
+        if not starts[left] or not starts[middle] or stop[left] != middle or stop[middle] != end:
+            continue
+        starts[middle] = False
+        stop[left] = end
+        if end < n:
+            before[end] = left
+        for changed in (joint(before[left]), joint(left)):
+            if changed:
+                heapq.heappush(heap, changed)
+    return starts
+
+
+def fold_viterbi_of(edges: np.ndarray, sizes: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Where pieces start, by ``fold_viterbi`` for all words at once, one end after the other."""
+    longest, n = edges.shape
+    first = np.cumsum(sizes) - sizes
+    best, back = np.zeros(n + 1), np.zeros(n + 1, np.int64)  # of the path up to and with each place
+    for end in range(1, int(sizes.max(initial=0)) + 1):
+        word = first[sizes >= end]
+        last = word + end - 1
+        top, size = np.full(len(word), -np.inf), np.zeros(len(word), np.int64)
+        for length in range(min(longest, end), 0, -1):
+            at = word + end - length
+            piece = edges[length - 1, at]
+            path = (best[at - 1] if length < end else 0.0) + score[piece]
+            better = ((piece >= 0) | (length == 1)) & (path > top)
+            top, size = np.where(better, path, top), np.where(better, length, size)
+        best[last], back[last] = top, size
+    starts = np.zeros(n, bool)
+    end = first + sizes
+    while len(end):
+        end = end - back[end - 1]
+        starts[end] = True
+        more = end > first
+        first, end = first[more], end[more]
+    return starts
+
+
+def _lattice_ids(words: pa.Array, model: Model, lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many each word has) of non-empty words of any length, by the lattice."""
+    lengths = pc.utf8_length(words).to_numpy().astype(np.int64)
+    found, counts, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    bounds = np.cumsum(lengths)
+    while at < len(words):
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] - lengths[at] + LATTICE_CHARS, "right")))
+        text = "".join(words.slice(at, end - at).to_pylist()).replace(" ", BLANK)
+        points, sizes = _points(text), lengths[at:end]
+        offset = np.cumsum(sizes) - sizes
+        edges = edges_of(points, np.repeat(offset + sizes, sizes) - np.arange(len(points)), lookup)
+        if model.unigram:
+            starts = fold_viterbi_of(edges, sizes, lookup.score)
+        else:
+            long = sizes > LONG_WORD
+            short = np.repeat(~long, sizes)
+            starts = np.ones(len(points), bool)
+            starts[short] = fold_merges_of(edges[:, short] if long.any() else edges, sizes[~long], lookup.rank)
+            for k in np.flatnonzero(long):
+                of = slice(offset[k], offset[k] + sizes[k])
+                starts[of] = fold_merges_long(edges[:, of], lookup.rank)
+        places = np.flatnonzero(starts)
+        ids = edges[np.diff(np.append(places, len(points))) - 1, places]
+        n = np.ones(len(ids), np.int64)
+        if model.byte_ids and (ids < 0).any():
+            bare = np.flatnonzero(ids < 0)
+            raw = [text[p].encode() for p in places[bare].tolist()]
+            n[bare] = [len(r) for r in raw]
+            ids = np.repeat(ids, n)
+            ids[ids < 0] = np.array(model.byte_ids, np.int32)[np.frombuffer(b"".join(raw), np.uint8)]
+        ids[ids < 0] = model.unknown
+        found.append(ids)
+        counts.append(np.add.reduceat(n, np.searchsorted(places, offset)))
+        at = end
+    return np.concatenate(found), np.concatenate(counts)
+
+
 def _encoder(model: Model, known: Dictionary) -> Callable:
     """A function from a string array to (ids, where rows end in them)."""
-    import sentencepiece
-
-    library = sentencepiece.SentencePieceProcessor(model_proto=model.proto)
+    lookup = _lookup(model)
 
     def encoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words, row_ends = split_words(column, model.alone)
@@ -253,13 +440,13 @@ def _encoder(model: Model, known: Dictionary) -> Callable:
         distinct, which = coded.dictionary, coded.indices.to_numpy()
         place = pc.index_in(distinct, value_set=known.words).fill_null(-1).to_numpy() if len(known.words) else np.full(len(distinct), -1)
         others = np.flatnonzero(place < 0)
-        lists = library.encode(distinct.take(pa.array(others)).to_pylist(), num_threads=1) if len(others) else []
+        fresh, counts = _lattice_ids(distinct.take(pa.array(others)), model, lookup)
         sizes, starts = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
         found = place >= 0
         sizes[found], starts[found] = known.sizes[place[found]], known.starts[place[found]]
-        sizes[others] = np.fromiter(map(len, lists), np.int64, len(lists))
-        starts[others] = len(known.flat) + np.cumsum(sizes[others]) - sizes[others]
-        flat = np.concatenate([known.flat, np.fromiter(chain.from_iterable(lists), np.int32)])
+        sizes[others] = counts
+        starts[others] = len(known.flat) + np.cumsum(counts) - counts
+        flat = np.concatenate([known.flat, fresh])
         ids = _gather(flat, starts[which], sizes[which])
         return ids, np.concatenate([[0], np.cumsum(sizes[which])])[row_ends]
 
